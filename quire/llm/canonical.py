@@ -20,6 +20,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NONE = "(none)"
 SHARD_ENTRIES = 200_000
@@ -211,7 +212,7 @@ def canonicalise(
     spark = values.sparkSession
     shards = max(1, -(-entries.count() // shard_entries))
     parts = entries.withColumn("_shard", F.pmod(F.xxhash64("spelling"), F.lit(shards)))
-    schema = values.schema.add("canonical", "string").add("canonical_cost", "double")
+    schema = T.StructType([*values.schema.fields, T.StructField("canonical", T.StringType()), T.StructField("canonical_cost", T.DoubleType())])
     out = values
     for i in range(shards):
         rows = [(r[0], r[1]) for r in parts.where(F.col("_shard") == i).select("spelling", "tag").collect()]
