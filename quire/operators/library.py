@@ -159,7 +159,8 @@ def graph_edges(docs: DataFrame) -> DataFrame:
     """ARR-06: edges of documents to their topics, tags and collections, and to each other."""
     ids = docs.select("document_id")
     parts = [
-        docs.select(F.lit(kind).alias("kind"), F.concat(F.lit("document:"), "document_id").alias("from_id"), F.explode(F.transform(V.ordered_distinct(col), lambda x, k=kind: F.concat(F.lit(k + ":"), x))).alias("to_id"))
+        docs.select("document_id", F.explode(V.ordered_distinct(col)).alias("label"))
+        .select(F.lit(kind).alias("kind"), F.concat(F.lit("document:"), "document_id").alias("from_id"), F.concat(F.lit(kind + ":"), "label").alias("to_id"))
         for kind, col in (("topic", "topics"), ("tag", "tags"), ("collection", "collections"))
     ]
     rel = relations(docs)

@@ -63,8 +63,10 @@ def three_way(desired: DataFrame, disk: DataFrame, previous: DataFrame) -> DataF
 
 def evict(table: DataFrame, key: str, updated: str, keep: int, spare: str | None = None) -> DataFrame:
     """SNK-29, STREAM-08: the ``keep`` rows updated last, ``spare`` among them."""
-    first = F.when(F.col(key) == spare, 1).otherwise(0) if spare is not None else F.lit(0)
-    return table.orderBy(first.desc(), F.desc(updated), key).limit(keep)
+    order = [F.desc_nulls_last(updated), F.col(key)]
+    if spare is not None:
+        order.insert(0, F.when(F.col(key) == spare, 1).otherwise(0).desc())
+    return table.orderBy(*order).limit(keep)
 
 
 def next_status(pages: DataFrame, cap: int = 2) -> DataFrame:
