@@ -205,7 +205,8 @@ class Reader:
 
     def worth(self, low: str) -> bool:
         """Whether a lower-cased text has anything to score."""
-        if any(self.plain(t) in _TRIGGERS for t in set(_TOKEN.findall(low))):
+        tokens = set(_TOKEN.findall(low))
+        if not _TRIGGERS.isdisjoint(tokens) or any(self.plain(t) in _TRIGGERS for t in tokens - self.common):
             return True
         return bool(_HAN_HINT.search(low) or _ZERO.search(low) or _SPACED.search(low)) or any(
             self.disguised(t) in _TRIGGERS for t in set(_MIXED.findall(low))
@@ -241,6 +242,8 @@ class Reader:
     def sentence(self, s: str) -> tuple[float, dict[str, float]]:
         """Score of a normalised sentence, and by category."""
         words = re.findall(r"[^\W_]+(?:['’\-][^\W_]+)*", s)
+        if _TRIGGERS.isdisjoint(words) and not _HAN_HINT.search(s) and not any("-" in w and not _TRIGGERS.isdisjoint(w.split("-")) for w in words):
+            return 0.0, {}
         flat = " ".join(words)
         found: list[tuple[str, float]] = []
         strong = False

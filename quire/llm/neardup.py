@@ -13,7 +13,7 @@ estimates are second-moment sketches of all signatures of all texts. The steps a
 order for every text until their sum is reached, so both sides of a similar pair emit the signature
 they share. Candidates are verified with the exact Jaccard similarity: no link is lost.
 
-Texts with equal sets of runs are joined once, as a class. Defined results: null texts and texts
+Texts with equal tokens are joined once, as a class. Defined results: null texts and texts
 below ``min_chars`` have no links; a text with fewer tokens than a run has all its tokens as its
 one run; a text without tokens has no runs and no links; repeated rows of one key count once; an
 empty table gives an empty result.
@@ -21,6 +21,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -36,12 +37,15 @@ from quire.session import cut
 TOKEN = re.compile("[0-9a-z]+|[㐀-䶿一-鿿豈-﫿぀-ヿ가-힯\U00020000-\U0002fa1f]")
 #: Cells of the frequency tables of tokens and of runs.
 TOKEN_CELLS, RUN_CELLS = 1 << 18, 1 << 21
+#: Row numbers of copies are broadcast up to this many, else joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 CLASSES = 14
 WIDTH = 8192
 #: Most bits of a partition that a signature joins.
 WIDEST = 3
 #: Signatures that a candidate must share. Texts emit as many more units, so a similar pair does.
 SHARED = 8
+_WHOLE = math.lcm(*range(1, SHARED + 1))
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -86,6 +90,47 @@ def runs(tokens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(h, return_index=True)
 
 
+class Batch:
+    """Distinct runs of many texts, sorted by text, class and anchor, and their partitions.
+
+    The anchor of a run is its rarest token; ties go to the smaller hash.
+    """
+
+    def __init__(self, flat: np.ndarray, off: np.ndarray, size: int, tables: "Tables | None"):
+        n = np.diff(off)
+        short = (n > 0) & (n < size)
+        count = np.where(short, 1, np.maximum(n - size + 1, 0))
+        self.doc = np.repeat(np.arange(len(n)), count)
+        first = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(off[:-1], count)
+        width = np.minimum(n, size)[self.doc]
+        h = np.where(short[self.doc], width, 0).astype(np.uint64)
+        last = max(len(flat) - 1, 0)
+        with np.errstate(over="ignore"):
+            for k in range(size):
+                at = np.minimum(first + k, last)
+                h = np.where(k < width, _mix(h + flat[at] + _M2 * np.uint64(k + 1)), h) if len(flat) else h
+        o = np.lexsort((h, self.doc))
+        h, d, first, width = h[o], self.doc[o], first[o], width[o]
+        new = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])] if len(h) else np.empty(0, bool)
+        self.h, self.doc, first, width = h[new], d[new], first[new], width[new]
+        self.n = np.bincount(self.doc, minlength=len(n))
+        if tables is None:
+            return
+        df = tables.tokens[_token_cells(flat)]
+        best = first.copy()
+        for k in range(1, size):
+            q = np.minimum(first + k, last)
+            better = (k < width) & ((df[q] < df[best]) | ((df[q] == df[best]) & (flat[q] < flat[best])))
+            best = np.where(better, q, best)
+        cls, key = tables.classes(self.h), flat[best]
+        o = np.lexsort((self.h, key, cls, self.doc))
+        self.h, self.doc, cls, key = self.h[o], self.doc[o], cls[o], key[o]
+        edge = np.r_[True, (self.doc[1:] != self.doc[:-1]) | (cls[1:] != cls[:-1]) | (key[1:] != key[:-1])] if len(key) else np.empty(0, bool)
+        self.start = np.flatnonzero(edge)
+        self.size = np.diff(np.r_[self.start, len(key)])
+        self.gcls, self.gdoc, self.cls = cls[self.start], self.doc[self.start], cls
+
+
 class Tables:
     """Estimated document frequencies; estimates are never too low."""
 
@@ -102,33 +147,6 @@ def _token_cells(tokens: np.ndarray) -> np.ndarray:
     return (_mix(tokens) % np.uint64(TOKEN_CELLS)).astype(np.int64)
 
 
-def _partitions(tokens: np.ndarray, size: int, tables: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs sorted by (class, anchor), with the class and the anchor of each.
-
-    The anchor of a run is its rarest token; ties go to the smaller hash.
-    """
-    h, first = runs(tokens, size)
-    if not len(h):
-        return h, np.empty(0, np.int64), np.empty(0, np.uint64)
-    df = tables.tokens[_token_cells(tokens)]
-    best = first.copy()
-    for i in range(1, min(size, len(tokens))):
-        q = first + i
-        better = (df[q] < df[best]) | ((df[q] == df[best]) & (tokens[q] < tokens[best]))
-        best = np.where(better, q, best)
-    cls, key = tables.classes(h), tokens[best]
-    o = np.lexsort((h, key, cls))
-    return h[o], cls[o], key[o]
-
-
-def _groups(key: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and sizes of the partitions."""
-    if not len(key):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])
-    return start, np.diff(np.r_[start, len(key)])
-
-
 def _subsets(h: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of all ``width`` bits of each partition, and their partition's number."""
     out, num = [], []
@@ -207,48 +225,47 @@ def allocate(cost: np.ndarray, units: np.ndarray, need: float, parts: int = 6, s
     return steps
 
 
-def emit(
-    h: np.ndarray, cls: np.ndarray, key: np.ndarray, steps: list[tuple[int, int]], need: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures until ``need`` units are reached, with the units before each one's partition.
+def emit(b: Batch, steps: list[tuple[int, int]], need: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of each text until its ``need`` of units is reached: text, signature, units before.
 
     A partition of ``g`` bits probed by ``w`` of them brings ``g - w + 1`` units, less what it
     brought in an earlier step. Within a step, partitions go by anchor.
     """
-    start, size = _groups(key, cls)
-    gcls = cls[start]
-    had = np.zeros(len(start), np.int64)
-    subsets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    sigs, before, done = [], [], 0
+    had = np.zeros(len(b.start), np.int64)
+    groups, gains, widths = [], [], []
     for c, w in steps:
-        if done >= need:
-            break
-        g = np.flatnonzero((gcls == c) & (size >= w))
-        if not len(g):
-            continue
-        gain = size[g] - w + 1 - had[g]
-        at = done + np.cumsum(gain) - gain
-        take, at = g[at < need], at[at < need]
-        if w not in subsets:
-            subsets[w] = _subsets(h, start, size, w)
-        sig, num = subsets[w]
-        pos = np.full(len(start), -1, np.int64)
-        pos[take] = at
-        m = pos[num] >= 0
-        sigs.append(sig[m])
-        before.append(pos[num[m]])
-        had[g] = size[g] - w + 1
-        done += int(gain.sum())
-    if not sigs:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.concatenate(sigs), np.concatenate(before)
-
-
-def _documents(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    ids, col = b.column(0).to_pylist(), b.column(1)
-    flat, off = col.values.to_numpy(zero_copy_only=False).view(np.uint64), col.offsets.to_numpy()
-    for k, cid in enumerate(ids):
-        yield cid, flat[off[k] : off[k + 1]]
+        g = np.flatnonzero((b.gcls == c) & (b.size >= w))
+        groups.append(g)
+        gains.append(b.size[g] - w + 1 - had[g])
+        widths.append(np.full(len(g), w))
+        had[g] = b.size[g] - w + 1
+    g, gain, width = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (groups, gains, widths))
+    o = np.argsort(b.gdoc[g], kind="stable")
+    g, gain, width = g[o], gain[o], width[o]
+    doc = b.gdoc[g]
+    at = np.cumsum(gain) - gain
+    if len(at):
+        lead = np.r_[True, doc[1:] != doc[:-1]]
+        at = at - np.repeat(at[lead], np.diff(np.r_[np.flatnonzero(lead), len(at)]))
+    take = at < need[doc]
+    g, width, at = g[take], width[take], at[take]
+    docs, sigs, before = [], [], []
+    for w in np.unique(width):
+        m = width == w
+        sig, num = _subsets(b.h, b.start[g[m]], b.size[g[m]], int(w))
+        docs.append(b.gdoc[g[m]][num])
+        sigs.append(sig)
+        before.append(at[m][num])
+    cat = lambda xs, t: np.concatenate(xs) if xs else np.empty(0, t)
+    return cat(docs, np.int64), cat(sigs, np.uint64), cat(before, np.int64)
+
+
+def _arrays(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, tokens of all texts one after another, and the bounds of each text."""
+    col = b.column(1)
+    off = col.offsets.to_numpy().astype(np.int64)
+    flat = col.values.to_numpy(zero_copy_only=False).view(np.uint64)[off[0] : off[-1]]
+    return b.column(0).to_numpy(zero_copy_only=False), flat, off - off[0]
 
 
 def _summer(dtype: str):
@@ -273,12 +290,11 @@ def links(
 ) -> tuple[DataFrame, DataFrame]:
     """Pairs of classes (class_a, class_b, similarity) and membership (key, class_id).
 
-    A class holds the texts with the same set of runs. ``threshold`` is a fraction (numerator,
+    A class holds the texts with the same tokens. ``threshold`` is a fraction (numerator,
     denominator). Similarities are exact.
     """
     num, den = threshold
     base = texts.where(F.length(text) >= min_chars).select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).where(F.col("key").isNotNull())
-    base = base.dropDuplicates(["key"])
     spark = base.sparkSession
 
     def run_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,10 +307,9 @@ def links(
                 x = tokens.of(t)
                 if not len(x):
                     continue
-                h, _ = runs(x, size)
                 keys.append(k)
                 toks.append(x.view(np.int64))
-                sets.append(xxhash.xxh64_intdigest(h.tobytes()) - 2**63)
+                sets.append(xxhash.xxh64_intdigest(x.tobytes()) - 2**63)
             lens = np.cumsum([0, *map(len, toks)]).astype(np.int32)
             flat = np.concatenate(toks) if toks else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -302,11 +317,16 @@ def links(
                 names=["key", "class_id", "tokens"],
             )
 
-    tokenised = cut(base.mapInArrow(run_sets, "key string, class_id long, tokens array<long>"))
-    members = tokenised.select("key", "class_id")
-    one = tokenised.groupBy("class_id").agg(F.min("key").alias("key"))
-    unique = tokenised.join(one, ["class_id", "key"], "left_semi").select("class_id", "tokens")
-    unique = cut(unique)
+    tokenised = cut(base.mapInArrow(run_sets, "key string, class_id long, tokens array<long>").withColumn("row", F.monotonically_increasing_id()))
+    # repeated rows of a key are equal; of different texts under one key, one counts
+    members = tokenised.groupBy("key").agg(F.min("class_id").alias("class_id"))
+    # rows of a class other than its first are dropped by their number, so that texts aren't moved
+    rows = tokenised.select("class_id", "row")
+    again = cut(rows.join(rows.groupBy("class_id").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1"), "class_id").where("row <> first").select("row"))
+    if again.count() <= BROADCAST_ROWS:
+        again = F.broadcast(again)
+    # from here on, a class goes by its row number, which takes less room in a shuffle than a hash
+    unique = cut(tokenised.join(again, "row", "left_anti").select("row", "tokens", "class_id"))
     total = unique.count()
     if total < 2:
         return spark.createDataFrame([], "class_a long, class_b long, similarity double"), members
@@ -314,40 +334,41 @@ def links(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(TOKEN_CELLS + RUN_CELLS, np.float32)
         for b in batches:
-            for _, x in _documents(b):
-                out[np.unique(_token_cells(x))] += 1
-                h, _ = runs(x, size)
-                np.add.at(out, TOKEN_CELLS + (h % np.uint64(RUN_CELLS)).astype(np.int64), np.float32(1))
+            _, flat, off = _arrays(b)
+            doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
+            cells = np.unique(doc * TOKEN_CELLS + _token_cells(flat)) % TOKEN_CELLS
+            out[:TOKEN_CELLS] += np.bincount(cells, minlength=TOKEN_CELLS)
+            h = Batch(flat, off, size, None).h
+            out[TOKEN_CELLS:] += np.bincount((h % np.uint64(RUN_CELLS)).astype(np.int64), minlength=RUN_CELLS)
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sketch"])
 
     few = unique.coalesce(max(1, spark.sparkContext.defaultParallelism))
-    summed = few.mapInArrow(count, "sketch binary").coalesce(1).mapInArrow(_summer("f4"), "sketch binary").first()
+    summed = few.mapInArrow(count, "sketch binary").repartition(1).mapInArrow(_summer("f4"), "sketch binary").collect()[0]
     box = spark.sparkContext.broadcast(Tables(np.frombuffer(summed["sketch"], np.float32), total))
 
     cells, units_at = CLASSES * WIDEST * WIDTH, CLASSES * WIDEST
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = box.value
         out = np.zeros(cells + 2 * units_at + 1)
-        for b in batches:
-            for _, x in _documents(b):
-                h, cls, anchor = _partitions(x, size, r)
-                start, g = _groups(anchor, cls)
-                gc = cls[start]
-                out[-1] += (len(h) * (den - num)) // (num + den) + SHARED
-                for w in range(1, WIDEST + 1):
-                    sig, group = _subsets(h, start, g, w)
-                    c = gc[group]
-                    mixed = _mix(sig)
-                    cell = ((w - 1) * CLASSES + c) * WIDTH + (mixed % np.uint64(WIDTH)).astype(np.int64)
-                    np.add.at(out, cell, 1.0 - 2.0 * ((mixed >> np.uint64(40)) & np.uint64(1)).astype(np.float64))
-                    at = cells + (w - 1) * CLASSES
-                    out[at : at + CLASSES] += np.bincount(gc, weights=np.maximum(g - w + 1, 0), minlength=CLASSES)
-                    at += units_at
-                    out[at : at + CLASSES] += np.bincount(c, minlength=CLASSES)
+        for rb in batches:
+            _, flat, off = _arrays(rb)
+            b = Batch(flat, off, size, box.value)
+            out[-1] += ((b.n * (den - num)) // (num + den) + SHARED).sum()
+            for w in range(1, WIDEST + 1):
+                sig, group = _subsets(b.h, b.start, b.size, w)
+                c = b.gcls[group]
+                mixed = _mix(sig)
+                cell = c * WIDTH + (mixed % np.uint64(WIDTH)).astype(np.int64)
+                sign = 1.0 - 2.0 * ((mixed >> np.uint64(40)) & np.uint64(1)).astype(np.float64)
+                at = (w - 1) * CLASSES * WIDTH
+                out[at : at + CLASSES * WIDTH] += np.bincount(cell, weights=sign, minlength=CLASSES * WIDTH)
+                at = cells + (w - 1) * CLASSES
+                out[at : at + CLASSES] += np.bincount(b.gcls, weights=np.maximum(b.size - w + 1, 0), minlength=CLASSES)
+                at += units_at
+                out[at : at + CLASSES] += np.bincount(c, minlength=CLASSES)
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sketch"])
 
-    summed = few.mapInArrow(sketch, "sketch binary").coalesce(1).mapInArrow(_summer("f8"), "sketch binary").first()
+    summed = few.mapInArrow(sketch, "sketch binary").repartition(1).mapInArrow(_summer("f8"), "sketch binary").collect()[0]
     got = np.frombuffer(summed["sketch"])
     moments = (got[:cells].reshape(WIDEST, CLASSES, WIDTH) ** 2).sum(2).T
     units = got[cells : cells + units_at].reshape(WIDEST, CLASSES).T
@@ -357,42 +378,42 @@ def links(
     steps = allocate(cost, units / total, got[-1] / total)
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = box.value
-        for b in batches:
-            ids, sizes, sig, before = [], [], [], []
-            for cid, x in _documents(b):
-                h, cls, anchor = _partitions(x, size, r)
-                n = len(h)
-                # the largest number of own bits that a partner may lack is that of the smallest partner
-                least = -(-n * num // den)
-                miss = n - -(-(n + least) * num // (num + den))
-                s, u = emit(h, cls, anchor, steps, miss + SHARED)
-                ids.append(np.full(len(s), cid, np.int64))
-                sizes.append(np.full(len(s), n, np.int32))
-                sig.append(s.view(np.int64))
-                before.append(u.astype(np.int32))
-            cat = lambda xs, t: pa.array(np.concatenate(xs) if xs else np.empty(0, t))
-            yield pa.RecordBatch.from_arrays([cat(sig, np.int64), cat(ids, np.int64), cat(sizes, np.int32), cat(before, np.int32)], names=["sig", "id", "n", "u"])
-
-    sigs = unique.mapInArrow(signatures, "sig long, id long, n int, u int")
+        for rb in batches:
+            ids, flat, off = _arrays(rb)
+            b = Batch(flat, off, size, box.value)
+            # the largest number of own bits that a partner may lack is that of the smallest partner
+            least = -(-b.n * num // den)
+            miss = b.n - -(-(b.n + least) * num // (num + den))
+            doc, sig, before = emit(b, steps, miss + SHARED)
+            # 40 bits of a signature tell enough apart: a chance match only adds a candidate
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array((sig >> np.uint64(24)).view(np.int64)), pa.array(ids[doc]),
+                    pa.array((b.n[doc] << 32 | before).astype(np.int64)),
+                ],
+                names=["sig", "id", "nu"],
+            )
+
+    sigs = unique.mapInArrow(signatures, "sig long, id long, nu long").repartition("sig")
 
     def lacks(n: Column, m: Column) -> Column:
         """Bits of a text of n runs that a partner of m runs may lack."""
         return n - F.ceil((n + m) * F.lit(num) / F.lit(num + den) - 1e-9).cast("int")
 
-    a = sigs.select("sig", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "u")))
-    b = sigs.select("sig", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "u")))
+    n_u = lambda x: (F.shiftright(F.col(f"nu_{x}"), 32).cast("int").alias(f"n_{x}"), F.col(f"nu_{x}").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias(f"u_{x}"))
+    a = sigs.select("sig", F.col("id").alias("id_a"), F.col("nu").alias("nu_a"))
+    b = sigs.select("sig", F.col("id").alias("id_b"), F.col("nu").alias("nu_b"))
+    met = a.join(b, "sig").where(F.struct(F.shiftright("nu_a", 32), "id_a") < F.struct(F.shiftright("nu_b", 32), "id_b")).select("id_a", "id_b", *n_u("a"), *n_u("b"))
     candidates = (
-        a.join(b, "sig")
-        .where(
-            (F.struct("n_a", "id_a") < F.struct("n_b", "id_b"))
-            & (F.col("n_a") * den >= F.col("n_b") * num)
+        met.where(
+            (F.col("n_a") * den >= F.col("n_b") * num)
             & (F.col("u_a") < lacks(F.col("n_a"), F.col("n_b")) + SHARED)
             & (F.col("u_b") < lacks(F.col("n_b"), F.col("n_a")) + SHARED)
         )
+        # a pair of fewer runs than SHARED needs no more signatures than the runs it must share
         .groupBy("id_a", "id_b")
-        .agg(F.count("*").alias("n"), F.first(F.col("n_a") - lacks(F.col("n_a"), F.col("n_b"))).alias("least"))
-        .where(F.col("n") >= F.least(F.lit(SHARED), "least"))
+        .agg(F.sum(F.floor(F.lit(_WHOLE) / F.least(F.lit(SHARED), F.col("n_a") - lacks(F.col("n_a"), F.col("n_b"))))).alias("share"))
+        .where(F.col("share") >= _WHOLE)
         .select("id_a", "id_b")
     )
     return _verify(candidates, unique, size, num, den), members
@@ -400,9 +421,9 @@ def links(
 
 def _verify(candidates: DataFrame, unique: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Candidates whose exact similarity reaches the threshold."""
-    x = unique.select(F.col("class_id").alias("id_a"), F.col("tokens").alias("tokens_a"))
-    y = unique.select(F.col("class_id").alias("id_b"), F.col("tokens").alias("tokens_b"))
-    both = candidates.join(x, "id_a").join(y, "id_b").select("id_a", "id_b", "tokens_a", "tokens_b")
+    x = unique.select(F.col("row").alias("id_a"), F.col("class_id").alias("class_a"), F.col("tokens").alias("tokens_a"))
+    y = unique.select(F.col("row").alias("id_b"), F.col("class_id").alias("class_b"), F.col("tokens").alias("tokens_b"))
+    both = candidates.join(x, "id_a").join(y, "id_b").select("class_a", "class_b", "tokens_a", "tokens_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}

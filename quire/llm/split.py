@@ -2,8 +2,9 @@
 
 The least number of pieces is computed from the limit and the overlap, equal-length targets are
 placed, and each target is moved to the strongest boundary near it. If a piece then exceeds the
-limit, one more piece is used and the targets are placed anew; without any boundary the targets
-themselves are cut, so a solution always exists.
+limit, or a cut finds no natural boundary and one more piece would, one more piece is used and the
+targets are placed anew; without any boundary the targets themselves are cut, so a solution always
+exists.
 
 Lengths are Unicode code points. Consecutive pieces share exactly the stated overlap. Defined
 results: null texts give no piece; texts within the limit, the empty text included, come out as one
@@ -58,6 +59,7 @@ def cuts(text: str, limit: int, overlap: int) -> list[tuple[int, int, float]]:
         return k >= 0 and fenced[k][0] < p < fenced[k][1]
 
     least = -(-(n - overlap) // (limit - overlap))
+    best: tuple[float, list[tuple[int, float]]] | None = None
     for count in range(least, least + 8):
         step = (n - overlap) / count
         reach = max(1, int(step * 0.45))
@@ -70,25 +72,28 @@ def cuts(text: str, limit: int, overlap: int) -> list[tuple[int, int, float]]:
             highest = min(start + limit, n - 1, target + reach)
             if lowest > highest:
                 break
-            best, best_score = (min(max(target, lowest), highest), 0.0), -1.0
+            pick, top = (min(max(target, lowest), highest), 0.0), -1.0
             for p, s in boundaries(text, lowest, highest):
                 if inside(p):
                     s *= 0.1
                 score = s - 2.0 * abs(p - target) / reach
-                if score > best_score or (score == best_score and p < best[0]):
-                    best, best_score = (p, s), score
-            ends.append(best)
-            start = best[0] - overlap
+                if score > top or (score == top and p < pick[0]):
+                    pick, top = (p, s), score
+            ends.append(pick)
+            start = pick[0] - overlap
         else:
-            if n - start <= limit and (count > least + 2 or all(s >= 1.5 for _, s in ends) or count == least + 7):
-                break
-            if n - start <= limit and count >= least + 1:
-                break
-    else:
+            weakest = min((s for _, s in ends), default=9.0)
+            if best is None or weakest > best[0]:
+                had, best = best, (weakest, ends)
+                if weakest >= 1.5 or had is not None:
+                    break  # a sentence, a line or more everywhere; or one more piece did better
+            else:
+                break  # one more piece doesn't help where there is nothing to cut at
+    if best is None:
         step = (n - overlap) / least
-        ends = [(int(k * step) + overlap, 0.0) for k in range(1, least)]
+        best = (0.0, [(int(k * step) + overlap, 0.0) for k in range(1, least)])
     out, start = [], 0
-    for e, s in ends:
+    for e, s in best[1]:
         out.append((start, e, s))
         start = e - overlap
     return [*out, (start, n, 9.0)]
