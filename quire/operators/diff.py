@@ -196,3 +196,128 @@ def edit_operations(pairs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["pair_id", "inserted", "deleted", "substituted", "edit_rate"])
 
     return pairs.select("pair_id", "pred", "gold").mapInPandas(work, "pair_id string, inserted int, deleted int, substituted int, edit_rate double")
+
+
+def likeness(a: str, b: str) -> float:
+    """STR-33: matching blocks of two texts without blanks, as a share of their length."""
+    from difflib import SequenceMatcher
+
+    x, y = re.sub(r"\s+", "", a).lower(), re.sub(r"\s+", "", b).lower()
+    return 1.0 if x == y else SequenceMatcher(None, x, y, autojunk=False).ratio()
+
+
+def align(a: list[tuple[str, str]], b: list[tuple[str, str]], gap: float = -0.55, least: float = 0.55) -> list[tuple[int | None, int | None, float]]:
+    """JOIN-23: global alignment; blocks below ``least`` are never paired."""
+    n, m = len(a), len(b)
+    sim = [[likeness(x[1], y[1]) if x[0] == y[0] else 0.0 for y in b] for x in a]
+    best = [[0.0] * (m + 1) for _ in range(n + 1)]
+    for i in range(1, n + 1):
+        best[i][0] = i * gap
+    for j in range(1, m + 1):
+        best[0][j] = j * gap
+    pair = lambda i, j: 0.95 if sim[i][j] >= 0.95 else 0.3 if sim[i][j] >= least else -9.0
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            best[i][j] = max(best[i - 1][j - 1] + pair(i - 1, j - 1), best[i - 1][j] + gap, best[i][j - 1] + gap)
+    out, i, j = [], n, m
+    while i or j:
+        if i and j and best[i][j] == best[i - 1][j - 1] + pair(i - 1, j - 1):
+            i, j = i - 1, j - 1
+            out.append((i, j, sim[i][j]))
+        elif i and (not j or best[i][j] == best[i - 1][j] + gap):
+            i -= 1
+            out.append((i, None, 0.0))
+        else:
+            j -= 1
+            out.append((None, j, 0.0))
+    return out[::-1]
+
+
+def verify(a: list[tuple[str, str]], b: list[tuple[str, str]], sure: float = 0.95) -> tuple[int, int, int, bool]:
+    """DIFF-03, WIN-20: blocks that agree, stand on one side only, or conflict; and whether the order changed."""
+    ka = [(t, re.sub(r"\s+", "", x).lower()) for t, x in a]
+    free: dict[tuple, list[int]] = {}
+    for j, (t, x) in enumerate(b):
+        free.setdefault((t, re.sub(r"\s+", "", x).lower()), []).append(j)
+    exact = {}
+    for i, k in enumerate(ka):
+        if free.get(k):
+            exact[i] = free[k].pop(0)
+    flipped = any(x >= y for x, y in zip(list(exact.values()), list(exact.values())[1:]))
+    ra = [x for i, x in enumerate(a) if i not in exact]
+    rb = [x for j, x in enumerate(b) if j not in set(exact.values())]
+    agree, one, conflict = len(exact), 0, 0
+    for i, j, s in align(ra, rb):
+        if i is None or j is None:
+            one += 1
+        elif s >= sure:
+            agree += 1
+        else:
+            conflict += 1
+    return agree, one, conflict, flipped
+
+
+def cross_validate(pairs: DataFrame) -> DataFrame:
+    """DIFF-03, AGG-38 over (pair_id, text_a, text_b): counts and the share of blocks in doubt."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for p, x, y in zip(pdf["pair_id"], pdf["text_a"], pdf["text_b"]):
+                agree, one, conflict, flipped = verify(blocks(x), blocks(y))
+                rows.append((p, agree, one, conflict, flipped, round((one + conflict) / max(agree + one + conflict, 1), 4)))
+            yield pd.DataFrame(rows, columns=["pair_id", "consistent", "one_side", "conflict", "order_changed", "divergence"])
+
+    return pairs.select("pair_id", "text_a", "text_b").mapInPandas(work, "pair_id string, consistent int, one_side int, conflict int, order_changed boolean, divergence double")
+
+
+def repeated_blocks(docs: DataFrame, key: str, body: str, least: float = 0.85) -> DataFrame:
+    """DIFF-04: groups of like blocks within one text: their number and least similarity of a linked pair."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for k, text in zip(pdf["key"], pdf["body"]):
+                bl = [(t, x) for t, x in blocks(text) if len(x) >= 20]
+                tk = [tokens(x) for _, x in bl]
+                root = list(range(len(bl)))
+
+                def find(i: int, root=root) -> int:
+                    while root[i] != i:
+                        root[i] = root[root[i]]
+                        i = root[i]
+                    return i
+
+                low: dict[int, float] = {}
+                links = [(dice(tk[i], tk[j]), i, j) for i in range(len(bl)) for j in range(i + 1, len(bl)) if bl[i][0] == bl[j][0] and min(len(tk[i]), len(tk[j])) * 2 >= least * (len(tk[i]) + len(tk[j]))]
+                links = [x for x in links if x[0] >= least]
+                for _, i, j in links:
+                    root[find(j)] = find(i)
+                for s, i, _ in links:
+                    low[find(i)] = min(s, low.get(find(i), 1.0))
+                for r, s in sorted(low.items()):
+                    rows.append((k, sum(find(i) == r for i in range(len(bl))), round(s, 4)))
+            yield pd.DataFrame(rows, columns=["key", "n_blocks", "least_similarity"])
+
+    return docs.select(F.col(key).cast("string").alias("key"), F.col(body).alias("body")).mapInPandas(work, "key string, n_blocks int, least_similarity double")
+
+
+def continuity(pairs: DataFrame, reach: int = 8, least: float = 0.5) -> DataFrame:
+    """JOIN-13 second tier, MATH-10/11, DIFF-06: pairs whose end and beginning overlap, and the merged length.
+
+    Both directions are tried; the larger overlap wins, ties go to (a, b).
+    """
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for p, x, y in zip(pdf["pair_id"], pdf["text_a"], pdf["text_b"]):
+                a, b = blocks(x), blocks(y)
+                ab, ba = overlap(a, b, reach), overlap(b, a, reach)
+                k, way = (ab, "a-b") if ab >= ba else (ba, "b-a")
+                ratio = k / max(1, min(reach, len(a), len(b)))
+                if k and ratio >= least:
+                    rows.append((p, way, k, round(ratio, 4), len(a) + len(b) - k))
+            yield pd.DataFrame(rows, columns=["pair_id", "direction", "overlap", "ratio", "merged_blocks"])
+
+    return pairs.select("pair_id", "text_a", "text_b").mapInPandas(work, "pair_id string, direction string, overlap int, ratio double, merged_blocks int")

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from quire.functions import text as T
 from quire.functions import values as V
-from quire.operators import diff, library, papers, search, similarity, timeline, timestamps, versions
+from quire.operators import diff, governance, library, papers, search, similarity, timeline, timestamps, versions
 from quire.plans import fingerprints
 from quire.session import cut, load
 
@@ -652,3 +652,148 @@ def p6_found(s, d):
 @query()
 def p6_order_weights(s, d):
     return timestamps.order_weights(timestamps.slot_values(load(s, d, "library_records")), load(s, d, "scanners"))
+
+
+# governance and quality --------------------------------------------------------------------------
+
+
+def _jobs(s: SparkSession, d: str) -> DataFrame:
+    cols = ("markdown", "error", "degraded", "model", "title", "document_id", "provider", "original_ext")
+    return load(s, d, "jobs").groupBy("job_id").agg(F.max_by(F.struct(*cols), "received_at").alias("r")).select("job_id", "r.*")
+
+
+_JOBS = "WITH j AS (SELECT DISTINCT ON (job_id) * FROM jobs ORDER BY job_id, received_at DESC)\n"
+_BLANK = governance.BLANK.replace("'", "''")
+_HEALTH = f"""CASE WHEN length(coalesce(error, '')) > 0 THEN 'failed' WHEN markdown IS NULL THEN 'pending' WHEN {_strip('markdown')} = '' OR regexp_matches({_strip('markdown')}, '{_BLANK}') THEN 'suspected' WHEN len(coalesce(degraded, [])) > 0 THEN 'degraded' ELSE 'healthy' END"""
+
+
+@query(_JOBS + f"SELECT job_id, {_HEALTH} AS health FROM j")
+def prj_job_health(s, d):
+    return governance.health(_jobs(s, d))
+
+
+@query(_JOBS + f"SELECT health, count(*) AS n_jobs, count(*) FILTER (health IN ('failed', 'suspected', 'degraded')) AS repairable FROM (SELECT {_HEALTH} AS health FROM j) GROUP BY health")
+def agg_health_summary(s, d):
+    return governance.health_summary(_jobs(s, d))
+
+
+@query("""WITH x AS (SELECT DISTINCT ON (inference_id) inference_id, try_cast(regexp_extract(coalesce(raw, ''), '(?s)(\\{.*\\})', 1) AS JSON) AS j FROM tag_inferences),
+ y AS (SELECT inference_id, CASE WHEN json_type(j, '$.tags') = 'ARRAY' THEN from_json(json_extract(j, '$.tags'), '["VARCHAR"]') END AS r FROM x)
+SELECT inference_id, coalesce(r IS NOT NULL AND len(r) <= 32 AND len(list_filter(r, lambda v: v IS NULL)) = 0, false) AS valid, len(coalesce(r, []))::INT AS n_reply FROM y""")
+def arr_reply_tags(s, d):
+    return governance.reply_tags(load(s, d, "tag_inferences").dropDuplicates(["inference_id"])).drop("keys")
+
+
+@query(_JOBS + f""", l AS (SELECT job_id AS key, unnest(string_split(coalesce(markdown, ''), chr(10))) AS line FROM j),
+ n AS (SELECT key, list_filter(list_transform(string_split(regexp_replace(line, '^\\s*(?:[-*+]|\\d+[.)])\\s+', ''), '→'), lambda x: {_strip('x')}), lambda x: x <> '') AS n FROM l WHERE contains(line, '→'))
+SELECT DISTINCT key, n[i] AS from_label, n[i + 1] AS to_label FROM (SELECT key, n, unnest(range(1, len(n))) AS i FROM n WHERE len(n) > 1)""")
+def str_relation_edges(s, d):
+    return governance.relation_edges(_jobs(s, d), "job_id", "markdown")
+
+
+_RULES = [("reading", ["bibliography", "citation", "书目"]), ("devices", ["scanner", "camera", "扫描仪"]), ("meetings", ["minutes", "agenda", "议程"])]
+
+
+@query(_LIB + """, t AS (SELECT document_id AS key, lower(coalesce(title, '') || ' ' || coalesce(current_markdown, '')) AS t FROM lib),
+ h AS (SELECT key, list_filter([CASE WHEN contains(t, 'bibliography') OR contains(t, 'citation') OR contains(t, '书目') THEN 'reading' END, CASE WHEN contains(t, 'scanner') OR contains(t, 'camera') OR contains(t, '扫描仪') THEN 'devices' END,
+  CASE WHEN contains(t, 'minutes') OR contains(t, 'agenda') OR contains(t, '议程') THEN 'meetings' END], lambda x: x IS NOT NULL) AS h FROM t)
+SELECT key, unnest(CASE WHEN len(h) > 0 THEN h ELSE ['misc'] END) AS topic FROM h""")
+def str_rule_topics(s, d):
+    return governance.classify(_live(s, d), _RULES, "document_id", "title", "current_markdown")
+
+
+@query("""WITH n AS (SELECT doc_id AS key, list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '\\[(\\d{1,4})\\]', 1), lambda x: x::INT)) AS n FROM documents WHERE lower(trim(source)) = 'qa_answers')
+SELECT key, list_sort(list_filter(n, lambda x: x BETWEEN 1 AND 4)) AS trusted, list_sort(list_filter(n, lambda x: x NOT BETWEEN 1 AND 4)) AS untrusted FROM n""")
+def set_citation_markers(s, d):
+    return governance.citation_markers(load(s, d, "documents").where(F.lower(F.trim("source")) == "qa_answers"), "doc_id", "text", 4)
+
+
+@query(f"""WITH p AS (SELECT DISTINCT document_id, coalesce(front_text, '') AS t FROM papers), l AS (SELECT *, list_filter(list_transform(string_split(t, chr(10)), lambda x: {_strip('x')}), lambda x: x <> '') AS l, {_strip("regexp_extract(t, '(?is)\\babstract\\b[:.\\s]*\\n?(.+)', 1)")} AS a FROM p)
+SELECT document_id, coalesce(l[1], '') AS title, coalesce(l[2], '') AS byline, a AS abstract, length(a)::INT AS abstract_chars FROM l""")
+def str_paper_front(s, d):
+    return governance.paper_front(load(s, d, "papers").dropDuplicates(["document_id"]))
+
+
+@query(_LIB + """, c AS (SELECT document_id, min(created_at) AS candidate FROM lib GROUP BY document_id)
+SELECT document_id, CASE WHEN m THEN v ELSE coalesce(candidate, v) END AS value, m AS manual FROM (SELECT document_id, metadata.document_time.value AS v, coalesce(metadata.document_time.manual, false) OR coalesce(metadata.document_time.source, '') = 'manual' AS m FROM lib) LEFT JOIN c USING (document_id)""")
+def date_merged_slot(s, d):
+    lib = _live(s, d)
+    return governance.merged_slots(lib, "document_time", lib.select("document_id", F.col("created_at").alias("candidate")))
+
+
+@query(_LIB + f""", a AS (SELECT unnest({_distinct('topics')}) AS topic, document_id FROM lib) SELECT document_id, list(topic ORDER BY ascii(topic), topic) AS topics FROM a GROUP BY document_id""")
+def snk_topic_assignment(s, d):
+    a = _live(s, d).select(F.explode(V.ordered_distinct("topics")).alias("topic"), "document_id")
+    return governance.topics_by_document(a.withColumn("ordinal", F.ascii("topic")))
+
+
+@query(_LIB + f""", plan AS (SELECT document_id, collection_id FROM lib JOIN collection_registry r ON list_contains(topics, r.topic)),
+ rejected AS (SELECT document_id, collection_id FROM plan WHERE ascii(right(document_id, 1)) % 5 = 0)
+SELECT p.document_id, p.collection_id, CASE WHEN list_contains({_distinct('list_concat(coalesce(l.manual_collections, []), coalesce(l.auto_collections, []))')}, p.collection_id) THEN 'already' WHEN len({_distinct('l.manual_collections')}) > 0 THEN 'confirm' ELSE 'pending' END AS status
+FROM plan p JOIN lib l USING (document_id) WHERE (p.document_id, p.collection_id) NOT IN (SELECT document_id, collection_id FROM rejected)""")
+def join_suggestions(s, d):
+    lib = _live(s, d)
+    topics = lib.select("document_id", F.explode(F.array_distinct("topics")).alias("topic"))
+    plan = topics.join(load(s, d, "collection_registry").select("collection_id", "topic"), "topic").select("document_id", "collection_id").distinct()
+    return governance.suggestions(lib, plan, plan.where(F.ascii(F.right("document_id", F.lit(1))) % 5 == 0))
+
+
+@query(_LIB + f"""SELECT document_id, marked, n::INT AS n_chars FROM (SELECT document_id, len(list_filter(list_transform({_distinct('list_concat(coalesce(topics, []), coalesce(tags, []))')}, lambda x: lower(x)), lambda x: contains(x, 'review') OR contains(x, 'plan'))) > 0 AS marked, length(coalesce(current_markdown, '')) AS n, coalesce(created_at, '') AS d FROM lib)
+ORDER BY marked DESC, n DESC, d DESC, document_id LIMIT 5""")
+def sort_highlights(s, d):
+    return governance.highlights(_live(s, d), ["review", "plan"])
+
+
+def _day(c: str) -> str:
+    return f"CASE WHEN regexp_full_match(substr({c}, 1, 10), '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN try_cast(substr({c}, 1, 10) AS DATE) END"
+
+
+@query(_LIB + f""", x AS (SELECT {_day('created_at')} AS m, {_day('updated_at')} AS c FROM lib)
+SELECT 'today' AS period, count(*) FILTER (m = DATE '2024-05-15') AS n_new, count(*) FILTER (c = DATE '2024-05-15') AS n_changed FROM x
+UNION ALL SELECT 'week', count(*) FILTER (m BETWEEN DATE '2024-05-13' AND DATE '2024-05-15'), count(*) FILTER (c BETWEEN DATE '2024-05-13' AND DATE '2024-05-15') FROM x
+UNION ALL SELECT 'total', count(*), count(*) FROM x""")
+def agg_dashboard(s, d):
+    return governance.dashboard(_live(s, d), "2024-05-15")
+
+
+@query(_LIB + """SELECT document_id, CASE WHEN p IN ('parse', 'reparse', 'edit', 'merge', 'split', 'import') THEN p WHEN p <> '' THEN 'unknown' WHEN page_index <= 0 THEN 'parse' ELSE 'reparse' END AS version_source FROM (SELECT document_id, lower(trim(coalesce(doc_kind, ''))) AS p, page_index FROM lib)""")
+def prj_version_source(s, d):
+    return _live(s, d).select("document_id", governance.version_source("doc_kind", "page_index").alias("version_source"))
+
+
+@query("""SELECT lower(trim(source)) AS source_key, lower(trim(target)) AS target_key, count(*) AS n, round(avg(levenshtein(source, target)), 4) AS mean_edits FROM (SELECT DISTINCT ON (suggestion_id) * FROM tag_merges) WHERE regexp_full_match(source, '[ -~]+') AND regexp_full_match(target, '[ -~]+') GROUP BY 1, 2""")
+def math_tag_edits(s, d):
+    m = load(s, d, "tag_merges").dropDuplicates(["suggestion_id"]).where(F.col("source").rlike("^[ -~]+$") & F.col("target").rlike("^[ -~]+$"))
+    return m.groupBy(F.lower(F.trim("source")).alias("source_key"), F.lower(F.trim("target")).alias("target_key")).agg(F.count("*").alias("n"), F.round(F.avg(F.levenshtein("source", "target")), 4).alias("mean_edits"))
+
+
+@query("""SELECT tag_group, count(*) AS n, round(avg(d / n), 4) AS mean_rate, round(min(d / n), 4) AS least, round(max(d / n), 4) AS most, round(sum(d) / sum(n), 4) AS micro_rate
+FROM (SELECT coalesce(v.tag_group, '(none)') AS tag_group, levenshtein(m.source, v.tag) AS d, greatest(length(v.tag), 1) AS n FROM (SELECT DISTINCT ON (suggestion_id) * FROM tag_merges) m JOIN tag_vocabulary v ON m.target = v.tag WHERE regexp_full_match(m.source, '[ -~]+')) GROUP BY tag_group""")
+def agg_edit_rates(s, d):
+    m = load(s, d, "tag_merges").dropDuplicates(["suggestion_id"]).where(F.col("source").rlike("^[ -~]+$"))
+    j = m.join(load(s, d, "tag_vocabulary").withColumnRenamed("tag", "target"), "target").withColumn("tag_group", F.coalesce("tag_group", F.lit("(none)")))
+    return governance.scores_by_group(j, "tag_group", "source", "target")
+
+
+@query()
+def win_merge_layers(s, d):
+    return governance.layers(load(s, d, "tag_merges").where("length(trim(source)) > 0 and length(trim(target)) > 0"))
+
+
+@query()
+def diff_cross_validation(s, d):
+    return diff.cross_validate(_job_pairs(s, d))
+
+
+@query()
+def diff_repeated_blocks(s, d):
+    return diff.repeated_blocks(_jobs(s, d).where("markdown is not null"), "job_id", "markdown")
+
+
+@query()
+def join_continuity(s, d):
+    lib = _live(s, d)
+    t = lib.select("document_id", F.col("current_markdown").alias("t"))
+    adj = library.adjacent_pages(lib)
+    pairs = adj.join(t.select(F.col("document_id").alias("a"), F.col("t").alias("text_a")), "a").join(t.select(F.col("document_id").alias("b"), F.col("t").alias("text_b")), "b")
+    return diff.continuity(pairs.select(F.concat_ws("|", "a", "b").alias("pair_id"), "text_a", "text_b"))
