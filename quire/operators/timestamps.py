@@ -78,8 +78,6 @@ def read(value: str) -> tuple[dict[str, date], tuple[int, int, int, int], str |
             if t[0] < 24 and t[1] < 60 and t[2] < 60:
                 return {"ymd": d}, (*t, 0), None
             return None
-        if len(s) in (8, 14) and 1900 <= int(m[1]) < 2100:
-            return None
     if m := re.fullmatch(r"(-?)(\d+)(?:\.(\d+))?", s):
         n = len(m[2])
         if n < 5:

@@ -41,18 +41,29 @@ def cut(df: DataFrame) -> DataFrame:
     if not _written:
         atexit.register(_remove)
     _written.append((df.sparkSession, path))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._quire_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table that ``cut`` wrote and nothing reads any more."""
+    _delete(df.sparkSession, df._quire_path)
+    _written.remove((df.sparkSession, df._quire_path))
 
 
 _written: list[tuple[SparkSession, str]] = []
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _remove() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session may have ended; what is left lies in the temporary folder
             return
 
