@@ -324,7 +324,7 @@ def score(documents: DataFrame, common_share: int = COMMON_SHARE) -> DataFrame:
 def rates(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Documents, cases and rate of each source; spellings of a source count as one."""
     name = F.coalesce(F.lower(F.trim("source")), F.lit("(none)"))
-    return scored.groupBy(name.alias("source")).agg(
+    return scored.dropDuplicates(["doc_id"]).groupBy(name.alias("source")).agg(
         F.count("*").alias("n_documents"),
         F.count_if(F.col("score") >= threshold).alias("n_cases"),
         (F.count_if(F.col("score") >= threshold) / F.count("*")).alias("rate"),

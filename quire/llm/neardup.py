@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import cut
+from quire.session import cut, discard
 
 TOKEN = re.compile("[0-9a-z]+|[㐀-䶿一-鿿豈-﫿぀-ヿ가-힯\U00020000-\U0002fa1f]")
 #: Cells of the frequency tables of tokens and of runs.
@@ -302,7 +303,7 @@ def links(
 
         tokens = Tokens()
         for b in batches:
-            keys, toks, sets = [], [], []
+            keys, toks, sets, packed = [], [], [], []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 x = tokens.of(t)
                 if not len(x):
@@ -310,23 +311,25 @@ def links(
                 keys.append(k)
                 toks.append(x.view(np.int64))
                 sets.append(xxhash.xxh64_intdigest(x.tobytes()) - 2**63)
+                packed.append(zlib.compress(" ".join(TOKEN.findall(t.lower())).encode(), 1))
             lens = np.cumsum([0, *map(len, toks)]).astype(np.int32)
             flat = np.concatenate(toks) if toks else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.string()), pa.array(sets, pa.int64()), pa.ListArray.from_arrays(pa.array(lens), pa.array(flat))],
-                names=["key", "class_id", "tokens"],
+                [pa.array(keys, pa.string()), pa.array(sets, pa.int64()), pa.ListArray.from_arrays(pa.array(lens), pa.array(flat)), pa.array(packed, pa.binary())],
+                names=["key", "class_id", "tokens", "packed"],
             )
 
-    tokenised = cut(base.mapInArrow(run_sets, "key string, class_id long, tokens array<long>").withColumn("row", F.monotonically_increasing_id()))
+    tokenised = cut(base.mapInArrow(run_sets, "key string, class_id long, tokens array<long>, packed binary").withColumn("row", F.monotonically_increasing_id()))
     # repeated rows of a key are equal; of different texts under one key, one counts
-    members = tokenised.groupBy("key").agg(F.min("class_id").alias("class_id"))
+    members = cut(tokenised.groupBy("key").agg(F.min("class_id").alias("class_id")))
     # rows of a class other than its first are dropped by their number, so that texts aren't moved
     rows = tokenised.select("class_id", "row")
     again = cut(rows.join(rows.groupBy("class_id").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1"), "class_id").where("row <> first").select("row"))
     if again.count() <= BROADCAST_ROWS:
         again = F.broadcast(again)
     # from here on, a class goes by its row number, which takes less room in a shuffle than a hash
-    unique = cut(tokenised.join(again, "row", "left_anti").select("row", "tokens", "class_id"))
+    unique = cut(tokenised.join(again, "row", "left_anti").select("row", "tokens", "class_id", "packed"))
+    discard(tokenised)
     total = unique.count()
     if total < 2:
         return spark.createDataFrame([], "class_a long, class_b long, similarity double"), members
@@ -342,7 +345,8 @@ def links(
             out[TOKEN_CELLS:] += np.bincount((h % np.uint64(RUN_CELLS)).astype(np.int64), minlength=RUN_CELLS)
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sketch"])
 
-    few = unique.coalesce(max(1, spark.sparkContext.defaultParallelism))
+    texts_only = unique.select("row", "tokens")
+    few = texts_only.coalesce(max(1, spark.sparkContext.defaultParallelism))
     summed = few.mapInArrow(count, "sketch binary").repartition(1).mapInArrow(_summer("f4"), "sketch binary").collect()[0]
     box = spark.sparkContext.broadcast(Tables(np.frombuffer(summed["sketch"], np.float32), total))
 
@@ -394,7 +398,7 @@ def links(
                 names=["sig", "id", "nu"],
             )
 
-    sigs = unique.mapInArrow(signatures, "sig long, id long, nu long").repartition("sig")
+    sigs = texts_only.mapInArrow(signatures, "sig long, id long, nu long").repartition("sig")
 
     def lacks(n: Column, m: Column) -> Column:
         """Bits of a text of n runs that a partner of m runs may lack."""
@@ -421,26 +425,27 @@ def links(
 
 def _verify(candidates: DataFrame, unique: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Candidates whose exact similarity reaches the threshold."""
-    x = unique.select(F.col("row").alias("id_a"), F.col("class_id").alias("class_a"), F.col("tokens").alias("tokens_a"))
-    y = unique.select(F.col("row").alias("id_b"), F.col("class_id").alias("class_b"), F.col("tokens").alias("tokens_b"))
-    both = candidates.join(x, "id_a").join(y, "id_b").select("class_a", "class_b", "tokens_a", "tokens_b")
+    x = unique.select(F.col("row").alias("id_a"), F.col("class_id").alias("class_a"), F.col("packed").alias("packed_a"))
+    y = unique.select(F.col("row").alias("id_b"), F.col("class_id").alias("class_b"), F.col("packed").alias("packed_b"))
+    both = candidates.join(x, "id_a").join(y, "id_b").select("class_a", "class_b", "packed_a", "packed_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
+        tokens = Tokens()
 
-        def of(cid: int, col: pa.ListArray, k: int) -> np.ndarray:
+        def of(cid: int, packed: bytes) -> np.ndarray:
             got = known.get(cid)
             if got is None:
-                if len(known) > 2000:
+                if len(known) > 4000:
                     known.clear()
-                got = known[cid] = runs(col[k].values.to_numpy(zero_copy_only=False).view(np.uint64), size)[0]
+                got = known[cid] = runs(tokens.of(zlib.decompress(packed).decode()), size)[0]
             return got
 
         for b in batches:
             ia, ib = b.column(0).to_pylist(), b.column(1).to_pylist()
             keep = []
             for k, (p, q) in enumerate(zip(ia, ib)):
-                h, g = of(p, b.column(2), k), of(q, b.column(3), k)
+                h, g = of(p, b.column(2)[k].as_py()), of(q, b.column(3)[k].as_py())
                 common = len(h) + len(g) - len(np.union1d(h, g))
                 if common * den >= (len(h) + len(g) - common) * num:
                     keep.append((p, q, common / (len(h) + len(g) - common)))
