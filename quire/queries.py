@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from quire.functions import text as T
 from quire.functions import values as V
-from quire.operators import diff, governance, library, papers, search, similarity, timeline, timestamps, versions
+from quire.operators import details, diff, governance, library, papers, search, similarity, timeline, timestamps, versions
 from quire.plans import fingerprints
 from quire.session import cut, load
 
@@ -797,3 +797,123 @@ def join_continuity(s, d):
     adj = library.adjacent_pages(lib)
     pairs = adj.join(t.select(F.col("document_id").alias("a"), F.col("t").alias("text_a")), "a").join(t.select(F.col("document_id").alias("b"), F.col("t").alias("text_b")), "b")
     return diff.continuity(pairs.select(F.concat_ws("|", "a", "b").alias("pair_id"), "text_a", "text_b"))
+
+
+# details -----------------------------------------------------------------------------------------
+
+
+@query(_LIB + f"""SELECT * FROM (SELECT document_id, len({_distinct('topics')}) = 0 AND len({_distinct('tags')}) = 0 AS pending, len({_distinct('tags')}) = 0 AND {_strip("coalesce(current_markdown, '')")} <> '' AS to_tag,
+ length(regexp_replace(coalesce(current_markdown, ''), '[\\s ]+', '', 'g')) >= 60 AS text_page FROM lib) WHERE pending OR to_tag""")
+def prj_pending_material(s, d):
+    return details.pending_material(_live(s, d))
+
+
+@query("SELECT DISTINCT doc_id FROM documents WHERE regexp_matches(coalesce(text, ''), '" + details.ORDERS + "')")
+def prj_injections(s, d):
+    return details.injections(load(s, d, "documents"), "doc_id", "text").distinct()
+
+
+@query(f"""SELECT document_id, count(*) AS n_lines FROM (SELECT document_id, {_strip("unnest(string_split(full_text, chr(10)))")} AS t FROM (SELECT DISTINCT document_id, full_text FROM papers WHERE full_text IS NOT NULL))
+WHERE length(t) BETWEEN 1 AND 120 AND NOT regexp_matches(t, '[.!?;。！？；]$') GROUP BY document_id""")
+def prj_heading_lines(s, d):
+    p = load(s, d, "papers").where("full_text is not null").dropDuplicates(["document_id"]).select("document_id", F.explode(F.split("full_text", "\n")).alias("line"))
+    return details.heading_like(p, "line").groupBy("document_id").agg(F.count("*").alias("n_lines"))
+
+
+@query(_LIB + """, t AS (SELECT DISTINCT document_id, path FROM (SELECT document_id, unnest(regexp_extract_all(coalesce(current_markdown, ''), '\\]\\(([^)\\s]+)\\)', 1)) AS path FROM lib) WHERE NOT regexp_matches(path, '^(?:[a-z]+:|#|/)'))
+SELECT document_id, path FROM t WHERE path NOT IN (SELECT source_pdf FROM lib WHERE source_pdf IS NOT NULL)""")
+def join_missing_attachments(s, d):
+    lib = _live(s, d)
+    return details.missing_targets(lib, lib.where("source_pdf is not null").select(F.col("source_pdf").alias("path")))
+
+
+@query("""WITH h AS (SELECT vec_id AS key, list_transform(embedding[1:64], lambda v: CASE WHEN v > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings), q AS (SELECT bits AS qb FROM h WHERE key = 0)
+SELECT key, distance, round(greatest(0, 1 - distance / 64), 4) AS similarity FROM (SELECT key, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN bits[i] <> qb[i] THEN 1 ELSE 0 END))::INT AS distance FROM h, q WHERE key <> 0) WHERE distance <= 28""")
+def join_hash_range(s, d):
+    return details.within_hash(similarity.sign_hash(load(s, d, "embeddings")), 0, 28)
+
+
+@query(_LIB + """, adj AS (SELECT source_key, document_id AS a, next_id AS b FROM (SELECT *, lead(document_id) OVER w AS next_id, lead(position) OVER w AS next_position FROM (
+ SELECT document_id, CASE WHEN length(pdf_id) > 0 THEN pdf_id WHEN length(source_pdf) > 0 THEN source_pdf END AS source_key, coalesce(page_index, page_number - 1) AS position FROM lib) WHERE source_key IS NOT NULL AND position IS NOT NULL
+ WINDOW w AS (PARTITION BY source_key ORDER BY position, document_id)) WHERE next_position = position + 1)
+SELECT document_id, list_sort(list(DISTINCT source_key)) AS labels FROM (SELECT unnest([a, b]) AS document_id, source_key FROM adj) GROUP BY document_id""")
+def agg_evidence_index(s, d):
+    return details.evidence(library.adjacent_pages(_live(s, d)).select("a", "b", F.col("source_key").alias("label")))
+
+
+@query(_LIB + "SELECT pdf_id, page_number, count(*) AS n_documents FROM lib WHERE page_number IS NOT NULL AND length(pdf_id) > 0 GROUP BY ALL HAVING count(*) > 1")
+def agg_repeated_pages(s, d):
+    return details.repeated_pages(_live(s, d))
+
+
+@query(_LIB + f""", r AS (SELECT document_id, {_distinct('manual_collections')} AS m, {_distinct('auto_collections')} AS a, {_distinct('topics')} AS t FROM lib),
+ x AS (SELECT document_id, 0 AS k, unnest(m) AS c, generate_subscripts(m, 1) AS i FROM r
+  UNION ALL SELECT document_id, 1, c, i FROM (SELECT document_id, unnest(a) AS c, generate_subscripts(a, 1) AS i FROM r) WHERE c IN (SELECT collection_id FROM collection_registry)
+  UNION ALL SELECT document_id, 2, collection_id, i FROM (SELECT document_id, unnest(t) AS tp, generate_subscripts(t, 1) AS i FROM r) JOIN collection_registry ON topic = tp)
+SELECT document_id, list(c ORDER BY k, i, c) AS collections FROM (SELECT document_id, c, min(k) AS k, min_by(i, (k, i)) AS i FROM x GROUP BY document_id, c) GROUP BY document_id""")
+def arr_effective_collections(s, d):
+    return details.effective_collections(_live(s, d), load(s, d, "collection_registry"))
+
+
+@query(_LIB + "SELECT document_id, coalesce(nullif(metadata.import_time.value, ''), created_at) AS import_time, nullif(metadata.import_time.value, '') IS NULL AS filled FROM lib")
+def date_backfill(s, d):
+    return details.backfill(_live(s, d))
+
+
+@query(_LIB + """SELECT document_id, coalesce(CASE WHEN length(source_pdf) > 0 THEN string_split(source_pdf, '/')[-1] END, pdf_id) AS pdf_name,
+ nullif(regexp_extract(coalesce(string_split(source_pdf, '/')[-1], ''), '^(.*?)_(\\d+)(?:_(\\d+))?\\.[A-Za-z]+$', 1), '') AS batch FROM lib""")
+def str_pdf_names(s, d):
+    name = details.pdf_name()
+    return _live(s, d).select("document_id", name.alias("pdf_name"), details.batch_hint(name)["batch"].alias("batch"))
+
+
+@query(_LIB + """SELECT document_id, coalesce(CASE WHEN length(trim(pdf_id)) > 0 THEN trim(pdf_id) END, CASE WHEN length(trim(source_pdf)) > 0 THEN trim(source_pdf) END) AS source_key, coalesce(page_index, page_number - 1) AS position, coalesce(page_number, page_index + 1) AS label FROM lib""")
+def sup_source_identity(s, d):
+    return details.source_identity(_live(s, d))
+
+
+@query("""SELECT DISTINCT ref_id, regexp_extract(coalesce(raw, ''), '^\\s*(\\[\\w+\\]|\\d{1,3}\\.)\\s', 1) AS mark, regexp_extract(coalesce(raw, ''), '(10\\.\\d{4,9}/[^\\s,;]+)', 1) AS doi, regexp_extract(coalesce(raw, ''), '[“"]([^”"]{8,}?),?[”"]', 1) AS quoted_title FROM resolved_refs""")
+def str_reference_fields(s, d):
+    return details.reference_fields(load(s, d, "resolved_refs").dropDuplicates(["ref_id"]))
+
+
+@query(_LIB + f"SELECT tag, n_documents FROM (SELECT tag, count(*) AS n_documents FROM (SELECT unnest({_distinct('tags')}) AS tag FROM lib) GROUP BY tag) ORDER BY n_documents DESC, lower(tag), tag LIMIT 40")
+def sup_vocabulary_lines(s, d):
+    return details.vocabulary_lines(library.facet_counts(_live(s, d), "tags", "tag"), 40)
+
+
+@query(_LIB + f"SELECT pdf_id, list_sort(list(DISTINCT x)) AS labels FROM (SELECT pdf_id, unnest({_distinct('tags')}) AS x FROM lib WHERE pdf_id IS NOT NULL) GROUP BY pdf_id")
+def set_labels_per_pdf(s, d):
+    return details.union_per_group(_live(s, d), "pdf_id", "tags")
+
+
+@query(_JOBS + "SELECT model, count(*) AS n, round(avg(length(markdown)), 4) AS mean, median(length(markdown)) AS median FROM j WHERE markdown IS NOT NULL GROUP BY model")
+def math_medians(s, d):
+    return details.medians(_jobs(s, d), "model", F.length("markdown"))
+
+
+@query("SELECT job_id, started_at FROM (SELECT DISTINCT ON (job_id) * FROM jobs ORDER BY job_id, received_at DESC) ORDER BY started_at DESC NULLS LAST, job_id LIMIT 200")
+def snk_last_rows(s, d):
+    j = load(s, d, "jobs").groupBy("job_id").agg(F.max_by("started_at", "received_at").alias("started_at"))
+    return details.last_rows(j, "started_at", "job_id", 200)
+
+
+@query(_LIB + f"""SELECT document_id, CASE WHEN length(x) > 120 THEN substr(x, 1, 120) || '…' ELSE x END AS first_paragraph FROM (SELECT document_id, coalesce(list_filter(list_transform(string_split(coalesce(current_markdown, ''), chr(10)), lambda x: {_strip("regexp_replace(regexp_replace(x, '!\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'), '^#+\\s*', '')")}), lambda x: x <> '')[1], '') AS x FROM lib)""")
+def str_first_paragraphs(s, d):
+    return _live(s, d).select("document_id", T.first_paragraph("current_markdown").alias("first_paragraph"))
+
+
+@query("SELECT tag, regexp_replace(tag, '([\\\\`*_{}\\[\\]()#+\\-.!|>])', '\\\\\\1', 'g') AS escaped, regexp_replace(translate(tag, '" + _WIDE + "', '" + _NARROW + "'), '\\s+', '', 'g') AS folded FROM tag_vocabulary")
+def str_escaped_labels(s, d):
+    return load(s, d, "tag_vocabulary").select("tag", T.escape_markdown("tag").alias("escaped"), T.label_fold("tag").alias("folded"))
+
+
+@query(_LIB + """SELECT kind, count(*) AS n FROM (SELECT coalesce(doc_kind, '(none)') AS kind FROM lib) GROUP BY kind""")
+def agg_kinds(s, d):
+    return _live(s, d).groupBy(F.coalesce("doc_kind", F.lit("(none)")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT DISTINCT document_id, title, venue FROM library_entries) SELECT coalesce(venue, '(none)') AS venue, count(DISTINCT document_id) AS n_entries FROM e GROUP BY 1""")
+def agg_venues(s, d):
+    return load(s, d, "library_entries").groupBy(F.coalesce("venue", F.lit("(none)")).alias("venue")).agg(F.countDistinct("document_id").alias("n_entries"))
+
