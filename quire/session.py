@@ -46,6 +46,16 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores before costly Python work.
+
+    Adaptive execution joins small partitions to one, which is right for the JVM's work but not for
+    a function that takes a millisecond a row.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files of a table that ``cut`` wrote and nothing reads any more."""
     _delete(df.sparkSession, df._quire_path)
