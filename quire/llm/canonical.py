@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.session import spread
+
 NONE = "(none)"
 SHARD_ENTRIES = 200_000
 
@@ -213,7 +215,7 @@ def canonicalise(
     shards = max(1, -(-entries.count() // shard_entries))
     parts = entries.withColumn("_shard", F.pmod(F.xxhash64("spelling"), F.lit(shards)))
     schema = T.StructType([*values.schema.fields, T.StructField("canonical", T.StringType()), T.StructField("canonical_cost", T.DoubleType())])
-    out = values
+    out = spread(values)
     for i in range(shards):
         rows = [(r[0], r[1]) for r in parts.where(F.col("_shard") == i).select("spelling", "tag").collect()]
         box = spark.sparkContext.broadcast(rows)
