@@ -44,6 +44,8 @@ CLASSES = 14
 WIDTH = 8192
 #: Most bits of a partition that a signature joins.
 WIDEST = 3
+#: What a signature costs, in candidates.
+ROW_COST = 0.1
 #: Signatures that a candidate must share. Texts emit as many more units, so a similar pair does.
 SHARED = 8
 _WHOLE = math.lcm(*range(1, SHARED + 1))
@@ -378,7 +380,7 @@ def links(
     units = got[cells : cells + units_at].reshape(WIDEST, CLASSES).T
     emitted = got[cells + units_at : -1].reshape(WIDEST, CLASSES).T
     # n signatures that all differ have the second moment n
-    cost = np.maximum((moments - emitted) / 2, 0) + 0.1 * emitted
+    cost = np.maximum((moments - emitted) / 2, 0) + ROW_COST * emitted
     steps = allocate(cost, units / total, got[-1] / total)
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
