@@ -27,10 +27,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import cut
+
 SLOTS = ("document_time", "capture_time", "import_time")
 ORDERS = ("dmy", "mdy", "ymd")
 CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{6}Z$"
-#: Device registries up to this many rows are broadcast; larger ones are joined by shuffle.
+#: Weights of up to this many sources are broadcast; more are joined by shuffle.
 BROADCAST_SOURCES = 200_000
 PRIOR_WEIGHT = 50.0
 
@@ -273,9 +275,9 @@ def order_weights(values: DataFrame, sources: DataFrame) -> DataFrame:
 
 def normalise_timestamps(values: DataFrame, sources: DataFrame) -> DataFrame:
     """``values`` (document_id, slot_name, device_id, value) with utc_text and order_posterior."""
-    weights = order_weights(values, sources)
-    if sources.count() <= BROADCAST_SOURCES:
-        weights = F.broadcast(weights.join(F.broadcast(sources.select("device_id").distinct()), "device_id", "left_semi"))
+    weights = cut(order_weights(values, sources))
+    if weights.count() <= BROADCAST_SOURCES:
+        weights = F.broadcast(weights)
     joined = values.join(weights, "device_id", "left").select("document_id", "slot_name", "value", "zone_name", "w_dmy", "w_mdy", "w_ymd")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
