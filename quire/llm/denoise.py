@@ -395,8 +395,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n.update(f"\x02{a}-{b}" for a, b in set(_COMPOUND.findall(low)))
             for run in _HAN.findall(t):
                 han.update(map("".join, zip(run, run[1:])))
-        keys = [*n, *(f"{a} {b}" for (a, b), k in pairs.items() if k > 1 or len(pdf) < 500), *("\x03" + h for h in han)]
-        vals = [*n.values(), *(k for k in pairs.values() if k > 1 or len(pdf) < 500), *han.values()]
+        keys = [*n, *(f"{a} {b}" for a, b in pairs), *("\x03" + h for h in han)]
+        vals = [*n.values(), *pairs.values(), *han.values()]
         yield pd.DataFrame({"entry": keys, "n": vals})
 
 

@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -230,6 +231,15 @@ def test_repair_of_empty_table(spark, model):
     assert denoise.repair(df, model).count() == 0
 
 
+def test_pairs_are_counted_over_all_batches():
+    # every pair occurs once in each of two batches of 600 texts
+    batch = pd.DataFrame({"text": [f"{a}{b}x {a}{b}y" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"][:600]})
+    n = Counter()
+    for part in denoise._count(iter([batch, batch])):
+        n.update(dict(zip(part["entry"], part["n"])))
+    assert n["abx aby"] == 2 and sum(" " in e for e in n) == 600
+
+
 # abuse ----------------------------------------------------------------------------------------------
 
 
