@@ -192,6 +192,24 @@ def test_links(spark):
     assert linkage.found(r, e.limit(0)).count() == 0 and linkage.found(r.limit(0), e).count() == 0
 
 
+def test_frequent_title_words_still_link(spark):
+    # every title word is on more than 60 entries; the references have neither DOI nor three words in a row
+    names = ["Brendik", "Vostrane", "Kelmori", "Tasquin", "Orlenda", "Pravosk", "Zintare", "Hudrelm", "Ferkola", "Wistand"]
+    filler = [(f"f{i}", t, None, [f"{names[i % 9]}, Q."], 1950 + i % 9, None) for i in range(70) for t in ["Thermal gradient"]]
+    filler += [(f"g{i}", "Porous membrane", None, [f"{names[i % 9]}, Q."], 1950 + i % 9, None) for i in range(70)]
+    entries = [("named", "Thermal porous gradient membrane", None, ["Wistandel, A."], 2004, None), ("nameless", "Gradient membrane thermal porous", None, None, 1987, None)]
+    refs = [
+        (1, "Filler words of every kind stand here before all else, Wistandel, A. Thermal porus gradient membrnae."),
+        (2, "Wistanel, A. (2004). Thermal porus gradient membrnae."),
+        (3, "(1987). Gradient membrnae thermal poruos."),
+    ]
+    e = spark.createDataFrame(filler + entries, "document_id string, title string, doi string, authors array<string>, pub_year int, venue string")
+    r = spark.createDataFrame(refs, "ref_id long, raw string").withColumn("id", F.col("ref_id").cast("string"))
+    want = {(i, d) for i, d in linkage.found(r.select("ref_id", "raw"), e).collect()}
+    free = {(int(x.ref_id), x.document_id) for x in linkage.link(r.select("ref_id", "raw"), e, rare_word=10**9).collect()}
+    assert want == free and {(2, "named"), (3, "nameless")} <= want
+
+
 # scans ----------------------------------------------------------------------------------------------
 
 
