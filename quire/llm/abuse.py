@@ -7,15 +7,14 @@ signs for letters, stretched letters and masked letters. Each sentence gets a sc
 weighted by a window of words around them: address and insult frames raise it, reports, quotation,
 and technical senses lower it. A document's score is that of its strongest sentence.
 
-Tokens that many documents share are ordinary words and aren't matched with errors; the share is a
-parameter and the counts cover all documents. Defined results: null and empty texts score 0;
+Every token is matched, however frequent; only the fixed list ``ORDINARY`` of words that are one edit
+from the lexicon by chance is exempt. Defined results: null and empty texts score 0;
 repeated rows of one key count once; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,9 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.5
-#: Tokens in more than one of COMMON_SHARE documents count as ordinary words (at most COMMON_SHARE
-#: times the mean number of distinct tokens of a document can be).
-COMMON_SHARE = 1000
+
+# Ordinary words that are within one edit of a lexicon word by chance.
+ORDINARY: frozenset[str] = frozenset(
+    "whole whose price batch botch birch butch lower loses lover loner laser looser regard idiom thrash rotted rotter blood broody crown fifth filch sever sower skewer stint sting stick stunk stank slink "
+    "sticking stinging sinking slinking stinting bread bleed brewed cases cakes caves cares canes capes cafes caged depot depart chose chore beater short shout shook shoots scoot strange straggle threat "
+    "nicks finger boxes bonus bores bodes bonds boned parties pantries pasties patties nodes nukes nudges horns election ejection books booms boots blobs moated thigh named nuked breast locked liked linked "
+    "lacked savage salvages bustard brains brawn braid drawn driver drives drivel manner manors horses house housed hoses clothe clothed laugh waits warts wands witch served serves server swerve".split()
+)
 
 # Words with their category and weight.
 WORDS: dict[str, tuple[str, float]] = {
@@ -148,7 +152,7 @@ _PHRASE_FORMS = [(c, _phrase(p), w) for c, p, w in PHRASES]
 class Reader:
     """Maps tokens to lexicon words; remembers what it has seen."""
 
-    def __init__(self, common: frozenset[str]):
+    def __init__(self, common: frozenset[str] = ORDINARY):
         self.trie, self.common = Trie(_TARGETS), common
         self.seen: dict[str, str] = {}
 
@@ -292,28 +296,12 @@ class Reader:
         return round(best, 6), kind
 
 
-def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        n: Counter[str] = Counter()
-        for t in pdf["text"]:
-            n.update(set(_TOKEN.findall(t.lower())))
-        yield pd.DataFrame({"token": list(n), "n": list(n.values())})
-
-
-def score(documents: DataFrame, common_share: int = COMMON_SHARE) -> DataFrame:
+def score(documents: DataFrame) -> DataFrame:
     """(doc_id, source, score, kind) of every document."""
     docs = documents.select("doc_id", "source", "text")
-    texts = docs.where(F.length("text") > 0)
-    total = texts.count()
-    common = frozenset(
-        r[0]
-        for r in texts.select("text").mapInPandas(_tokens, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-        .where(F.col("n") * common_share > total).where("n > 2").select("token").toLocalIterator()
-    )
-    box = docs.sparkSession.sparkContext.broadcast(common)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(box.value)
+        reader = Reader()
         for pdf in batches:
             got = [reader.score(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "score": [x[0] for x in got], "kind": [x[1] for x in got]})

@@ -274,6 +274,12 @@ def test_abuse(text, bad):
     assert (score >= abuse.THRESHOLD) is bad, (score, kind)
 
 
+def test_copies_of_a_misspelling_are_found(spark):
+    rows = [(i, "Whoever wrote this is an imbecille.", "hot") for i in range(30)] + [(100 + i, f"The lower batch holds nodes of plain text {i}.", "b") for i in range(60)]
+    got = {r.doc_id for r in abuse.found(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == set(range(30))
+
+
 def test_automaton_matches_brute_force():
     words = ["moron", "cretin", "bastard", "imbecile"]
     trie = abuse.Trie(words)
