@@ -141,6 +141,9 @@ _TARGETS = {*WORDS, *(w for w in _PHRASE_WORDS if len(w) > 4)}
 #: Words of phrases that are ordinary by themselves don't make a text worth scoring.
 _TRIGGERS = {*(w for w, (_, x) in WORDS.items() if x > 0)} | set("oxygen brain manners crawl disgust lost shut kiss houses driven clothes bend stairs allowed necks cages breed breeds stink beaten laughs miss".split())
 
+#: Phrases without a trigger are worth scoring where all their words occur.
+_UNTRIGGERED = [ws for ws in (frozenset(w for x in p.split() if x != "_" for w in re.split("['’-]", x)) for _, p, _ in PHRASES) if _TRIGGERS.isdisjoint(ws)]
+
 
 def _phrase(p: str) -> re.Pattern:
     return re.compile(r"(?<!\w)" + r" ".join(r"(?:\S+ ){1,3}" if w == "_" else re.escape(w) for w in p.split()).replace("}) ", "})").replace("(?:\\S+ ){1,3} ", "(?:\\S+ ){1,3}") + r"(?!\w)")
@@ -149,6 +152,12 @@ def _phrase(p: str) -> re.Pattern:
 _PHRASE_FORMS = [(c, _phrase(p), w) for c, p, w in PHRASES]
 
 
+def _has_phrase(words: set[str]) -> bool:
+    """Whether all words of a phrase without triggers occur, as words or parts of them."""
+    parts = words.union(*(re.split("['’-]", w) for w in words if not w.isalpha()))
+    return any(ws <= parts for ws in _UNTRIGGERED)
+
+
 class Reader:
     """Maps tokens to lexicon words; remembers what it has seen."""
 
@@ -210,11 +219,12 @@ class Reader:
     def worth(self, low: str) -> bool:
         """Whether a lower-cased text has anything to score."""
         tokens = set(_TOKEN.findall(low))
-        if not _TRIGGERS.isdisjoint(tokens) or any(self.plain(t) in _TRIGGERS for t in tokens - self.common):
+        if not _TRIGGERS.isdisjoint(tokens):
+            return True
+        meant = {self.plain(t) for t in tokens} | {self.disguised(t) for t in set(_MIXED.findall(low))}
+        if not _TRIGGERS.isdisjoint(meant) or _HAN_HINT.search(low) or _ZERO.search(low) or _SPACED.search(low):
             return True
-        return bool(_HAN_HINT.search(low) or _ZERO.search(low) or _SPACED.search(low)) or any(
-            self.disguised(t) in _TRIGGERS for t in set(_MIXED.findall(low))
-        )
+        return _has_phrase(tokens | meant)
 
     def undo(self, low: str) -> str:
         """The text with disguises undone."""
@@ -246,7 +256,7 @@ class Reader:
     def sentence(self, s: str) -> tuple[float, dict[str, float]]:
         """Score of a normalised sentence, and by category."""
         words = re.findall(r"[^\W_]+(?:['’\-][^\W_]+)*", s)
-        if _TRIGGERS.isdisjoint(words) and not _HAN_HINT.search(s) and not any("-" in w and not _TRIGGERS.isdisjoint(w.split("-")) for w in words):
+        if _TRIGGERS.isdisjoint(words) and not _HAN_HINT.search(s) and not any("-" in w and not _TRIGGERS.isdisjoint(w.split("-")) for w in words) and not _has_phrase(set(words)):
             return 0.0, {}
         flat = " ".join(words)
         found: list[tuple[str, float]] = []

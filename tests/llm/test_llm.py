@@ -274,6 +274,16 @@ def test_abuse(text, bad):
     assert (score >= abuse.THRESHOLD) is bad, (score, kind)
 
 
+@pytest.mark.parametrize(("phrase", "weight"), [(p, w) for _, p, w in abuse.PHRASES])
+def test_every_phrase_scores_alone(phrase, weight):
+    text = f"Well, {phrase.replace('_', 'the lot')} then."
+    assert abuse.Reader(frozenset()).score(text)[0] >= weight - 1e-6
+
+
+def test_disguised_phrases_score():
+    assert abuse.Reader().score("I know wh3re you live, friend.")[0] >= 0.8 and abuse.Reader().score("Re-break your arm.")[0] >= 0.5
+
+
 def test_copies_of_a_misspelling_are_found(spark):
     rows = [(i, "Whoever wrote this is an imbecille.", "hot") for i in range(30)] + [(100 + i, f"The lower batch holds nodes of plain text {i}.", "b") for i in range(60)]
     got = {r.doc_id for r in abuse.found(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
