@@ -53,9 +53,9 @@ def plain_markdown(c: str | Column) -> Column:
     return F.regexp_replace(t, r"https?://\S+", " ")
 
 
-def similarity_tokens(c: str | Column, max_chars: int = 8000) -> Column:
-    """STR-02: cut to ``max_chars`` first, then words and single ideographs, kana and hangul."""
-    t = F.lower(plain_markdown(F.substring(text(c), 1, max_chars)))
+def similarity_tokens(c: str | Column, max_chars: int | None = 8000) -> Column:
+    """STR-02: cut to ``max_chars`` first (None: whole texts), then words and single ideographs, kana and hangul."""
+    t = F.lower(plain_markdown(text(c) if max_chars is None else F.substring(text(c), 1, max_chars)))
     return F.regexp_extract_all(t, F.lit(rf"[0-9a-z]+|[{HAN}\x{{3040}}-\x{{30ff}}\x{{ac00}}-\x{{d7af}}]"), F.lit(0))
 
 

@@ -208,7 +208,7 @@ _SIM = "regexp_extract_all(lower(" + _PLAIN.replace("{0}", "substr(coalesce({0},
 
 @query(_LIB + "SELECT document_id, len(" + _SIM.replace("{0}", "current_markdown") + ")::INT AS n_tokens FROM lib")
 def str_similarity_tokens(s, d):
-    return _live(s, d).select("document_id", F.size(T.similarity_tokens("current_markdown")).alias("n_tokens"))
+    return _live(s, d).select("document_id", F.size(T.similarity_tokens("current_markdown", None)).alias("n_tokens"))
 
 
 @query("""SELECT document_id, coalesce(regexp_extract(t, '(10\\.\\d{4,9}/[^\\s,;]+)', 1), '') AS doi_raw FROM (SELECT DISTINCT document_id, coalesce(doi, '') AS t FROM library_entries)""")
@@ -492,7 +492,7 @@ def agg_job_status(s, d):
 SELECT a, b, score FROM (SELECT a, b, round(c / (na.n + nb.n - c), 6) AS score FROM c JOIN n na ON na.k = a JOIN n nb ON nb.k = b) WHERE score >= 0.08""")
 def join_jaccard_pairs(s, d):
     p = load(s, d, "papers").where("full_text is not null").dropDuplicates(["document_id"])
-    return similarity.jaccard_pairs(p, "document_id", "full_text")
+    return similarity.jaccard_pairs(p, "document_id", "full_text", max_chars=None)
 
 
 _HASH = """WITH h AS (SELECT vec_id AS key, list_transform(embedding[1:64], lambda v: CASE WHEN v > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings),

@@ -67,6 +67,19 @@ def test_jaccard_matches_brute_force(spark):
     assert got == want
 
 
+def test_similarity_reads_whole_texts(spark, tmp_path):
+    from quire import queries
+
+    head = [" ".join(f"w{k}x{i}" for i in range(1500)) for k in "ab"]
+    tail = " ".join(f"same{i}" for i in range(1500))
+    rows = [("a", f"{head[0]} {tail}"), ("b", f"{head[1]} {tail}")]
+    spark.createDataFrame(rows, "document_id string, full_text string").write.parquet(f"{tmp_path}/papers.parquet")
+    assert len(head[0]) > 8000
+    got = [tuple(r) for r in queries.QUERIES["join_jaccard_pairs"](spark, str(tmp_path)).collect()]
+    assert got == [("a", "b", round(1498 / (2 * 2998 - 1498), 6))]
+    assert one(spark, rows[0][1], F.size(T.similarity_tokens("x", None)).alias("n"))[0] == 3000
+
+
 def test_hamming_pairs_and_components(spark):
     import random
 
