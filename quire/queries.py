@@ -763,14 +763,14 @@ def prj_version_source(s, d):
 
 @query("""SELECT lower(trim(source)) AS source_key, lower(trim(target)) AS target_key, count(*) AS n, round(avg(levenshtein(source, target)), 4) AS mean_edits FROM (SELECT DISTINCT ON (suggestion_id) * FROM tag_merges) WHERE regexp_full_match(source, '[ -~]+') AND regexp_full_match(target, '[ -~]+') GROUP BY 1, 2""")
 def math_tag_edits(s, d):
-    m = load(s, d, "tag_merges").dropDuplicates(["suggestion_id"]).where(F.col("source").rlike("^[ -~]+$") & F.col("target").rlike("^[ -~]+$"))
+    m = load(s, d, "tag_merges").dropDuplicates(["suggestion_id"]).where("source is not null and target is not null")
     return m.groupBy(F.lower(F.trim("source")).alias("source_key"), F.lower(F.trim("target")).alias("target_key")).agg(F.count("*").alias("n"), F.round(F.avg(F.levenshtein("source", "target")), 4).alias("mean_edits"))
 
 
 @query("""SELECT tag_group, count(*) AS n, round(avg(d / n), 4) AS mean_rate, round(min(d / n), 4) AS least, round(max(d / n), 4) AS most, round(sum(d) / sum(n), 4) AS micro_rate
 FROM (SELECT coalesce(v.tag_group, '(none)') AS tag_group, levenshtein(m.source, v.tag) AS d, greatest(length(v.tag), 1) AS n FROM (SELECT DISTINCT ON (suggestion_id) * FROM tag_merges) m JOIN tag_vocabulary v ON m.target = v.tag WHERE regexp_full_match(m.source, '[ -~]+')) GROUP BY tag_group""")
 def agg_edit_rates(s, d):
-    m = load(s, d, "tag_merges").dropDuplicates(["suggestion_id"]).where(F.col("source").rlike("^[ -~]+$"))
+    m = load(s, d, "tag_merges").dropDuplicates(["suggestion_id"]).where("source is not null")
     j = m.join(load(s, d, "tag_vocabulary").withColumnRenamed("tag", "target"), "target").withColumn("tag_group", F.coalesce("tag_group", F.lit("(none)")))
     return governance.scores_by_group(j, "tag_group", "source", "target")
 

@@ -80,6 +80,30 @@ def test_similarity_reads_whole_texts(spark, tmp_path):
     assert one(spark, rows[0][1], F.size(T.similarity_tokens("x", None)).alias("n"))[0] == 3000
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_edits_of_mixed_scripts(spark, tmp_path):
+    from quire import queries
+
+    pairs = [("图论笔记", "图论"), ("ｏｐｔｉｃｓ", "optics"), ("café", "cafe"), ("𝒳y", "xy"), ("grpah", "graph"), ("", "graph")]
+    spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate([*pairs, (None, "graph")])], "suggestion_id int, source string, target string").write.parquet(f"{tmp_path}/tag_merges.parquet")
+    spark.createDataFrame([(b, b) for b in {b for _, b in pairs}], "tag string, tag_group string").write.parquet(f"{tmp_path}/tag_vocabulary.parquet")
+    got = {(r.source_key, r.target_key): r.mean_edits for r in queries.QUERIES["math_tag_edits"](spark, str(tmp_path)).collect()}
+    assert got == {(a.lower(), b): edits(a, b) for a, b in pairs}
+    rates = {r.tag_group: (r.n, r.micro_rate) for r in queries.QUERIES["agg_edit_rates"](spark, str(tmp_path)).collect()}
+    for t in {b for _, b in pairs}:
+        d = [edits(a, b) for a, b in pairs if b == t]
+        assert rates[t] == (len(d), round(sum(d) / (len(d) * len(t)), 4))
+
+
 def test_hamming_pairs_and_components(spark):
     import random
 
