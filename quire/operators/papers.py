@@ -45,6 +45,24 @@ def resolve(references: DataFrame, entries: DataFrame) -> DataFrame:
     return j.select("ref_id", "citing_id", F.coalesce("doc_doi", "doc_title").alias("doc"), how.alias("matched_by"))
 
 
+def titles_in(references: DataFrame, entries: DataFrame) -> DataFrame:
+    """(ref_id, title) of references (ref_id, raw): the longest run of parts that is one document's title.
+
+    Parts end at commas, full stops, years and line ends, so every style of reference is covered.
+    """
+    t = F.regexp_replace(T.text("raw"), r"(?i)(?:doi[:\s]*|https?://\S*?/)?10\.\d{4,9}/[^\s,;]+", " ")
+    t = F.regexp_replace(t, r"^\s*(?:\[\w+\]|\d{1,3}\.)\s+", "")
+    t = F.regexp_replace(t, r"(\(?\b(?:19|20)\d\d[a-z]?\)?[.,:]?)\s+", "\u0001$1\u0001")
+    # a part's number belongs to the title before it
+    t = F.regexp_replace(t, r"([.,]+[”\"]?)\s+(?!(?i:part)\b)|\s*\n\s*", "$1\u0001")
+    parts = F.split(t, "\u0001+")
+    n = F.size("parts")
+    runs = F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.array_join(F.slice("parts", i, k), " ")))
+    rows = references.select("ref_id", parts.alias("parts")).select("ref_id", F.explode(F.array_distinct(F.flatten(runs))).alias("title"))
+    hits = rows.withColumn("title_k", T.title_key("title")).join(unique_keys(entries, T.title_key("title"), "title_k"), "title_k")
+    return hits.groupBy("ref_id").agg(F.max_by("title", F.struct(F.length("title_k"), "title_k")).alias("title"))
+
+
 def citation_edges(resolved: DataFrame) -> DataFrame:
     """JOIN-16: distinct (source, target, matched_by), without self-citations."""
     return resolved.where("doc is not null and doc <> citing_id").select(F.col("citing_id").alias("source"), F.col("doc").alias("target"), "matched_by").distinct()

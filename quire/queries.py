@@ -535,8 +535,9 @@ _CITE = "WITH e AS (SELECT DISTINCT document_id, " + _DOI.format("doi") + " AS d
 
 
 def _resolved(s: SparkSession, d: str) -> DataFrame:
-    r = load(s, d, "resolved_refs").dropDuplicates(["ref_id"]).select("ref_id", "citing_id", F.regexp_extract(T.text("raw"), r"(10\.\d{4,9}/[^\s,;]+)", 1).alias("doi"), F.lit(None).cast("string").alias("title"))
-    return papers.resolve(r, load(s, d, "library_entries"))
+    raw, entries = load(s, d, "resolved_refs").dropDuplicates(["ref_id"]), load(s, d, "library_entries")
+    r = raw.select("ref_id", "citing_id", F.regexp_extract(T.text("raw"), r"(10\.\d{4,9}/[^\s,;]+)", 1).alias("doi"))
+    return papers.resolve(r.join(papers.titles_in(raw, entries), "ref_id", "left"), entries)
 
 
 @query(_CITE + "SELECT ref_id, citing_id, doc, matched_by FROM res")

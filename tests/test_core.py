@@ -104,6 +104,21 @@ def test_edits_of_mixed_scripts(spark, tmp_path):
         assert rates[t] == (len(d), round(sum(d) / (len(d) * len(t)), 4))
 
 
+def test_references_resolve_by_title(spark, tmp_path):
+    from quire import queries
+
+    titles = {"a": "Learning ordered dataset from idle notebook", "b": "A study of soil, revisited with Qualin", "c": "A study of soil, revisited with Qualin, Part II", "d": "twice", "e": "Twice"}
+    raws = [
+        ("1. VULMONT D, “Learning Ordered Dataset From Idle Notebook,” Proc. Shelf Wksp., vol. 46, 2009", "a"), ("Dolbel et al. (2016). A study of soil, revisited with Qualin. North. Libr. Q., 32.", "b"),
+        ("A study of soil, revisited with Qualin, Part II, J. Hultadar, 2004", "c"), ("[QUA03] Qualin, T.. Learning ordered dataset from idle notebook\n    Annals of Page Studies, 2003", "a"),
+        ("M. Zillalin, D. Drether 2021 Learning ordered dataset from idle notebook DOI 10.99129/none.1", "a"), ("Comment on “Learning ordered dataset from idle notebook”. Arch., 2000.", None), ("A study of soil, revisited with Qualin, Part III, 2004", None), ("X (1999). Twice. Y.", None), (None, None),
+    ]
+    spark.createDataFrame([(i, "z", r) for i, (r, _) in enumerate(raws)], "ref_id long, citing_id string, raw string").write.parquet(f"{tmp_path}/resolved_refs.parquet")
+    spark.createDataFrame([(k, t, None) for k, t in titles.items()], "document_id string, title string, doi string").write.parquet(f"{tmp_path}/library_entries.parquet")
+    got = {r.ref_id: (r.doc, r.matched_by) for r in queries.QUERIES["join_resolved_references"](spark, str(tmp_path)).collect()}
+    assert got == {i: (want, "title" if want else None) for i, (_, want) in enumerate(raws)}
+
+
 def test_hamming_pairs_and_components(spark):
     import random
 
