@@ -38,12 +38,16 @@ def missing_targets(docs: DataFrame, files: DataFrame) -> DataFrame:
     return t.distinct().join(files.select("path").distinct(), "path", "left_anti").select("document_id", "path")
 
 
-def within_hash(hashes: DataFrame, key: int, most: int) -> DataFrame:
-    """JOIN-11, JOIN-12: hashes within a distance of one of them; one row is broadcast."""
-    q = hashes.where(F.col("key") == key).select(F.col("hi").alias("qh"), F.col("lo").alias("ql")).limit(1)
+def within_hash(hashes: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """JOIN-11, JOIN-12: (query, key, distance, similarity) of hashes within a distance of each query's; exact.
+
+    The distances are too wide for equal segments, so every query meets every row; Spark broadcasts
+    the queries where they are small.
+    """
+    q = queries.select(F.col("key").alias("query"), F.col("hi").alias("qh"), F.col("lo").alias("ql"))
     d = V.hamming(F.col("hi"), F.col("lo"), F.col("qh"), F.col("ql"))
-    rows = hashes.where(F.col("key") != key).join(F.broadcast(q), F.lit(True)).select("key", d.alias("distance"))
-    return rows.where(F.col("distance") <= most).select("key", "distance", F.round(V.hash_similarity("distance"), 4).alias("similarity"))
+    rows = hashes.crossJoin(q).where(F.col("key") != F.col("query")).select("query", "key", d.alias("distance"))
+    return rows.where(F.col("distance") <= most).select("query", "key", "distance", F.round(V.hash_similarity("distance"), 4).alias("similarity"))
 
 
 def evidence(pairs: DataFrame) -> DataFrame:

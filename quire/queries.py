@@ -831,7 +831,8 @@ def join_missing_attachments(s, d):
 @query("""WITH h AS (SELECT vec_id AS key, list_transform(embedding[1:64], lambda v: CASE WHEN v > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings), q AS (SELECT bits AS qb FROM h WHERE key = 0)
 SELECT key, distance, round(greatest(0, 1 - distance / 64), 4) AS similarity FROM (SELECT key, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN bits[i] <> qb[i] THEN 1 ELSE 0 END))::INT AS distance FROM h, q WHERE key <> 0) WHERE distance <= 28""")
 def join_hash_range(s, d):
-    return details.within_hash(similarity.sign_hash(load(s, d, "embeddings")), 0, 28)
+    h = similarity.sign_hash(load(s, d, "embeddings"))
+    return details.within_hash(h, h.where("key % 100 = 0"), 28)
 
 
 @query(_LIB + """, adj AS (SELECT source_key, document_id AS a, next_id AS b FROM (SELECT *, lead(document_id) OVER w AS next_id, lead(position) OVER w AS next_position FROM (

@@ -119,6 +119,19 @@ def test_references_resolve_by_title(spark, tmp_path):
     assert got == {i: (want, "title" if want else None) for i, (_, want) in enumerate(raws)}
 
 
+def test_hash_range_takes_every_hundredth_key(spark, tmp_path):
+    import random
+
+    from quire import queries
+
+    rnd = random.Random(5)
+    bits = {k: [rnd.choice([-1.0, 1.0]) for _ in range(64)] for k in range(250)}
+    spark.createDataFrame(list(bits.items()), "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = {(q, k, n) for q in (0, 100, 200) for k in bits if k != q and (n := sum(a != b for a, b in zip(bits[q], bits[k]))) <= 28}
+    got = {(r.query, r.key, r.distance) for r in queries.QUERIES["join_hash_range"](spark, str(tmp_path)).collect()}
+    assert got == want and {q for q, _, _ in want} == {0, 100, 200}
+
+
 def test_hamming_pairs_and_components(spark):
     import random
 
