@@ -18,26 +18,29 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, notebooks in local mode) a temporary folder is used.
+    Only where that is unset and the master is local (tests, notebooks) a temporary folder is used;
+    on a cluster each executor would write to its own disk, so that is refused.
     """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or (
         sc._jsc.sc().getCheckpointDir().get() if sc._jsc.sc().getCheckpointDir().isDefined() else None
     )
     if folder is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="quire-")
         sc.setCheckpointDir(folder)
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a table into the shared folder and go on from its files.
 
     The files survive the loss of executors, are compressed by column, and are removed when the
     driver ends.
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/quire-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     if not _written:
         atexit.register(_remove)
     _written.append((df.sparkSession, path))
