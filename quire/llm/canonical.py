@@ -6,7 +6,8 @@ probe with radius ``r`` visits only children whose edge is within ``r`` of the n
 still returns every entry in reach. The list is broadcast in shards of at most ``shard_entries``
 spellings; each shard is searched whole and the shard winners are merged.
 
-Defined results: null and blank values give no row; a value without an entry in reach gives
+Equal spellings are searched once and joined back. Defined results: null and blank values give no
+tag (and no occurrence); a value without an entry in reach gives
 ``(none)``; equal distances go to the smallest name; an empty reference list gives ``(none)``
 for every value; repeated rows of one key count once.
 """
@@ -20,12 +21,13 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quire.session import spread
+from quire.session import cut, spread
 
 NONE = "(none)"
 SHARD_ENTRIES = 200_000
+#: Searched spellings are broadcast up to this many, else joined by shuffle.
+BROADCAST_VALUES = 500_000
 
 # Wrappings that people put around a tag without changing what it means.
 BEFORE = ("my", "about", "intro to", "introduction to", "notes on", "关于")
@@ -214,8 +216,9 @@ def canonicalise(
     spark = values.sparkSession
     shards = max(1, -(-entries.count() // shard_entries))
     parts = entries.withColumn("_shard", F.pmod(F.xxhash64("spelling"), F.lit(shards)))
-    schema = T.StructType([*values.schema.fields, T.StructField("canonical", T.StringType()), T.StructField("canonical_cost", T.DoubleType())])
-    out = spread(values)
+    schema = "value string, canonical string, canonical_cost double"
+    # each spelling is searched once, however often it is written
+    out = spread(values.select(F.col(value).alias("value")).where(F.length(F.regexp_replace("value", r"(?U)\s+", "")) > 0).distinct())
     for i in range(shards):
         rows = [(r[0], r[1]) for r in parts.where(F.col("_shard") == i).select("spelling", "tag").collect()]
         box = spark.sparkContext.broadcast(rows)
@@ -225,20 +228,21 @@ def canonicalise(
             for pdf in batches:
                 names, costs = [], []
                 had = zip(pdf["canonical"], pdf["canonical_cost"]) if "canonical" in pdf else ((None, None) for _ in range(len(pdf)))
-                for v, (old, cost) in zip(pdf[value], had):
-                    if v is None or not str(v).strip():
-                        names.append(None)
-                        costs.append(None)
-                        continue
+                for v, (old, cost) in zip(pdf["value"], had):
                     tag, c = index.find(v)
                     if old is not None and old != NONE and (tag == NONE or (cost, old) <= (c, tag)):
                         tag, c = old, cost
                     names.append(tag)
                     costs.append(None if tag == NONE else c)
-                yield pdf.assign(canonical=names, canonical_cost=pd.array(costs, dtype="Float64"))
+                yield pd.DataFrame({"value": pdf["value"], "canonical": names, "canonical_cost": pd.array(costs, dtype="Float64")})
 
         out = out.mapInPandas(search, schema)
-    return out
+    found = cut(out)
+    # the mapping has a row a spelling; beyond the bound it is joined by shuffle, where AQE splits hot spellings
+    if found.count() <= BROADCAST_VALUES:
+        found = F.broadcast(found)
+    found = found.withColumnRenamed("value", "_value")
+    return values.join(found, values[value] == found["_value"], "left").drop("_value")
 
 
 def tag_occurrences(inferences: DataFrame, merges: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 Each source gets an expected number of copies per document: its target tokens over its own tokens,
 at most ``max_repeats``. What capped sources cannot give goes to the others in proportion. Copies
 are drawn by systematic sampling: expected copies are summed up along the documents of the source,
-one offset is added, and a document is emitted once per integer boundary that its part of the sum
+one random offset a source (seeded) is added, and a document is emitted once per integer boundary that its part of the sum
 crosses, so that a document comes out the expected number of times rounded down or up. Documents
 are taken in order of size, so the tokens drawn follow the expectation closely. The sums run in two
 levels, over buckets of size and within them, so no source goes through one task.
@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-SALTS = 32
+#: Documents of one size and source that one task ranks, on average.
+SALT_ROWS = 1_000_000
 
 
 def source_name(c: str | Column) -> Column:
@@ -45,11 +46,23 @@ def rates(sizes: dict[str, int], shares: dict[str, float], caps: dict[str, int],
     return out
 
 
-def mix(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None, offset: float = 0.5) -> tuple[DataFrame, DataFrame]:
+def largest_total(sizes: dict[str, int], shares: dict[str, float], caps: dict[str, int]) -> float:
+    """Most tokens at which every source with documents reaches its share within its cap."""
+    able = [caps[s] * sizes[s] / shares[s] for s in shares if sizes.get(s, 0) > 0 and shares[s] > 0]
+    return min(able, default=0.0) * sum(shares[s] for s in shares if sizes.get(s, 0) > 0 and shares[s] > 0)
+
+
+def offset(source: str | Column, seed: int) -> Column:
+    """The random offset of a source, in [0, 1)."""
+    return F.pmod(F.xxhash64(F.lit(seed), source), F.lit(1 << 30)) / float(1 << 30)
+
+
+def mix(counts: DataFrame, targets: DataFrame, total_tokens: int | str | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Drawn documents (doc_id, source, tokens, copies), and the report of the sources.
 
     ``counts`` has doc_id, source and tokens. The total defaults to the tokens of all documents
-    whose source has a target.
+    whose source has a target; ``"exact"`` takes the largest total that meets all targets within the
+    caps. Another ``seed`` draws other documents; over seeds, each comes out its expected number of times.
     """
     spark = counts.sparkSession
     docs = counts.dropDuplicates(["doc_id"]).select("doc_id", source_name("source").alias("source"), "tokens")
@@ -63,12 +76,14 @@ def mix(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     caps = {r[0]: int(r[2] or 0) for r in rows}
     aimed = docs.join(F.broadcast(want.select("source")), "source", "left_semi")
     own = {r[0]: (r[1], r[2]) for r in aimed.groupBy("source").agg(F.sum("tokens"), F.count("*")).collect()}
-    total = total_tokens if total_tokens is not None else sum(n for n, _ in own.values())
-    e = rates({s: n for s, (n, _) in own.items()}, shares, caps, total)
+    sizes = {s: n for s, (n, _) in own.items()}
+    total = largest_total(sizes, shares, caps) if total_tokens == "exact" else total_tokens if total_tokens is not None else sum(sizes.values())
+    e = rates(sizes, shares, caps, total)
+    salts = max(32, -(-max((n for _, n in own.values()), default=0) // SALT_ROWS))
     plan = spark.createDataFrame([(s, e.get(s, 0.0)) for s in shares] or [("", 0.0)], "source string, rate double")
     drawn = aimed.join(F.broadcast(plan), "source").where("rate > 0")
     # order: size, then a hash; buckets hold one size and salt each
-    keyed = drawn.withColumn("size", F.col("tokens")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    keyed = drawn.withColumn("size", F.col("tokens")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     sums = keyed.groupBy("source", "size", "salt").agg(F.count("*").alias("n"))
     level = sums.groupBy("source", "size").agg(F.sum("n").alias("m")).withColumn("below", F.sum("m").over(W.partitionBy("source").orderBy("size").rowsBetween(W.unboundedPreceding, -1)))
     before = sums.join(level.select("source", "size", "below"), ["source", "size"]).withColumn(
@@ -77,7 +92,7 @@ def mix(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     ranked = keyed.withColumn("i", F.row_number().over(W.partitionBy("source", "size", "salt").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id"))).join(
         before.select("source", "size", "salt", "start"), ["source", "size", "salt"]
     )
-    at = (F.col("start") + F.col("i")) * F.col("rate") + F.lit(offset) + 1e-9
+    at = (F.col("start") + F.col("i")) * F.col("rate") + offset("source", seed) + 1e-9
     chosen = ranked.withColumn("copies", (F.floor(at) - F.floor(at - F.col("rate"))).cast("int")).where("copies > 0").select("doc_id", "source", "tokens", "copies")
 
     got = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.sum("copies").alias("n_drawn"), F.max("copies").alias("most_copies"))

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.mixing import source_name
+
 CAPACITY = 2048
 SHARD_TOKENS = 1_000_000
 
@@ -85,14 +87,14 @@ def pack(counts: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHARD_
         )
     )
     rest = items.select(
-        "doc_id", "source", "cluster", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"),
+        "doc_id", F.coalesce(source_name("source"), F.lit("")).alias("source"), "cluster", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"),
         F.when(F.col("tokens") > capacity, F.col("full")).otherwise(0).alias("piece"),
         F.when(F.col("tokens") > capacity, F.col("tokens") - F.col("full") * capacity).otherwise(F.col("tokens")).cast("int").alias("tokens"),
     ).where("tokens > 0")
 
     def fill(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["tokens", "doc_id"], ascending=[False, True], kind="stable")
-        where, _ = best_fit(list(zip(pdf["tokens"].tolist(), pdf["cluster"].tolist(), pdf["source"].fillna("").tolist())), capacity)
+        where, _ = best_fit(list(zip(pdf["tokens"].tolist(), pdf["cluster"].tolist(), pdf["source"].tolist())), capacity)
         return pd.DataFrame({
             "container": [f"s{key[0]}-{b}" for b in where], "doc_id": pdf["doc_id"].to_numpy(), "piece": pdf["piece"].to_numpy(),
             "first_token": pdf["piece"].to_numpy() * capacity, "tokens": pdf["tokens"].to_numpy(),

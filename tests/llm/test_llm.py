@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -129,6 +130,28 @@ def test_copies_form_a_class(spark):
 # packing and mixing ---------------------------------------------------------------------------------
 
 
+def test_over_seeds_documents_come_out_their_expected_number_of_times(spark):
+    n, rate, seeds = 40, 0.37, 400
+    offsets = spark.range(seeds).select(mixing.offset(F.lit("notes"), 0).alias("same"), (F.pmod(F.xxhash64(F.col("id").cast("int"), F.lit("notes")), F.lit(1 << 30)) / float(1 << 30)).alias("o")).collect()
+    assert len({r.same for r in offsets}) == 1
+    times = Counter()
+    for r in offsets:
+        for i in range(1, n + 1):
+            at = i * rate + r.o
+            times[i] += math.floor(at) - math.floor(at - rate)
+    assert abs(sum(times.values()) / (n * seeds * rate) - 1) < 0.01
+    assert all(abs(times[i] / seeds - rate) < 0.09 for i in range(1, n + 1))
+
+
+def test_another_seed_draws_other_documents_and_the_exact_total_meets_all_shares(spark):
+    counts = spark.createDataFrame([(i, "ab"[i % 2], 50 + i % 7) for i in range(400)], "doc_id long, source string, tokens int")
+    targets = spark.createDataFrame([("a", 0.9, 1), ("b", 0.1, 3)], "source string, target_share double, max_repeats int")
+    one, two = ({r.doc_id for r in mixing.mix(counts, targets, 4000, seed=s)[0].collect()} for s in (1, 2))
+    assert one != two
+    shares = {r.source: r.actual_share for r in mixing.mix(counts, targets, "exact")[1].collect()}
+    assert abs(shares["a"] - 0.9) < 0.01 and abs(shares["b"] - 0.1) < 0.01
+
+
 def test_packing_keeps_capacity_and_conflicts(spark):
     rnd = random.Random(3)
     rows = [(i, rnd.choice("ab"), i % 400, rnd.randint(1, 900)) for i in range(1500)] + [(9001, None, 77777, 5000), (9002, "a", 88888, 4096)]
