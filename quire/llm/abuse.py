@@ -1,27 +1,46 @@
 """Scores for abusive, hateful, threatening and sexually explicit language.
 
-A lexicon of words and phrases is held as a trie of words' letters. Unusual tokens run a
-Levenshtein automaton against the trie (its states are rows of the edit matrix, cut off beyond the
-allowed distance), after disguises are undone: zero-width and separating characters, digits and
-signs for letters, stretched letters and masked letters. Each sentence gets a score from its terms,
-weighted by a window of words around them: address and insult frames raise it, reports, quotation,
-and technical senses lower it. A document's score is that of its strongest sentence.
-
-Every token is matched, however frequent; only the fixed list ``ORDINARY`` of words that are one edit
-from the lexicon by chance is exempt. Defined results: null and empty texts score 0;
-repeated rows of one key count once; an empty table gives an empty result.
+A lexicon of words is held as a trie of letters. Unusual tokens run a Levenshtein automaton against
+the trie (its states are rows of the edit matrix, cut off beyond the allowed distance). In the
+automaton, digits and signs that look like a letter, masks and stretched letters cost nothing, so
+disguises and misspellings are caught by one search; zero-width and separating characters are
+undone before. Each sentence gets a score from its terms, weighted by a window of words around
+them: address and insult frames raise it, reports, quotation and technical senses lower it. A
+document's score is that of its strongest sentence.
+
+What the lexicon lacks is learned: runs of up to four words (or five Han characters) that occur in
+labelled documents far more often with abuse than chance allows become terms, with a weight from
+their rate. Runs around a lexicon term are tested apart from the others. The fit reads at most ``LABELLED`` judged documents, chosen by hash; every document is
+scored.
+
+A token is ordinary, and so no misspelling, if it is a word of its own in the vocabulary of a public
+tokenizer (a parameter) or on a short fixed list. Every other token is matched, however frequent.
+Defined results: null and empty texts score 0; repeated rows of one key count once; judgements that
+are null or divided are left out; without judgements only the lexicon counts; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
+import base64
+import math
+import os
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import cut
+
 THRESHOLD = 0.5
+#: Most judged documents that the fit reads.
+LABELLED = 20_000
+#: Chance that any learned term at all is due to luck, and the least rate of a term.
+LUCK, LEAST_RATE, LEAST_TIMES = 0.05, 0.6, 3
 
 # Ordinary words that are within one edit of a lexicon word by chance.
 ORDINARY: frozenset[str] = frozenset(
@@ -45,20 +64,13 @@ WORDS: dict[str, tuple[str, float]] = {
     "yourself": ("threat", 0.0),
 }
 
-# Phrases over normalised words; "_" stands for up to two words.
+# Set phrases over normalised words.
 PHRASES: tuple[tuple[str, str, float], ...] = (
-    ("insult", "waste of oxygen", 0.7), ("insult", "brain of a", 0.55), ("insult", "manners of a", 0.55), ("insult", "piece of trash", 0.6),
-    ("insult", "piece of shit", 0.8), ("insult", "shut up", 0.5), ("insult", "get lost", 0.35), ("insult", "kiss my", 0.6), ("insult", "you disgust me", 0.7),
-    ("insult", "crawl back", 0.5), ("insult", "should be ashamed", 0.3), ("insult", "laughs at you", 0.4), ("insult", "too dumb to", 0.5), ("insult", "too stupid to", 0.5),
-    ("insult", "as stupid as you", 0.6), ("insult", "nobody wants to read your", 0.35), ("insult", "go to hell", 0.6), ("threat", "ought to drown", 0.7), ("threat", "to drown that", 0.6), ("threat", "should be shot", 0.7),
-    ("hate", "breed like", 0.7), ("hate", "like rats", 0.3), ("hate", "not real people", 0.8), ("hate", "driven out", 0.6), ("hate", "belongs in cages", 0.8), ("hate", "belong in cages", 0.8),
-    ("hate", "inferior lot", 0.6), ("hate", "inferior race", 0.8), ("hate", "all thieves", 0.6), ("hate", "thieves and filth", 0.7), ("hate", "they stink", 0.6), ("hate", "don't serve", 0.3),
-    ("hate", "should never have been allowed", 0.65), ("hate", "half breeds", 0.65), ("hate", "half-breeds", 0.65), ("hate", "their houses down", 0.7), ("hate", "send _ back or", 0.6),
-    ("threat", "kill yourself", 0.9), ("threat", "kill you", 0.8), ("threat", "nobody will miss you", 0.7), ("threat", "hope you choke", 0.8), ("threat", "hope you die", 0.8),
-    ("threat", "break your fingers", 0.8), ("threat", "break your", 0.5), ("threat", "find you and", 0.5), ("threat", "necks broken", 0.75), ("threat", "neck broken", 0.75),
-    ("threat", "deserves to be beaten", 0.8), ("threat", "deserve to be beaten", 0.8), ("threat", "better watch the", 0.4), ("threat", "burn their", 0.5), ("threat", "i know where you live", 0.8),
-    ("sexual", "oral sex", 0.65), ("sexual", "sex tonight", 0.7), ("sexual", "explicit videos", 0.6), ("sexual", "clothes off", 0.45), ("sexual", "bend you over", 0.8), ("sexual", "make you come", 0.6),
-    ("sexual", "naked breasts", 0.6), ("sexual", "between her thighs", 0.6), ("sexual", "show you my cock", 0.8), ("sexual", "send me nudes", 0.8), ("sexual", "filmed all of it", 0.3), ("sexual", "panties down", 0.7),
+    ("insult", "piece of shit", 0.8), ("insult", "piece of trash", 0.6), ("insult", "shut up", 0.5), ("insult", "get lost", 0.35), ("insult", "kiss my ass", 0.7), ("insult", "kiss my arse", 0.7),
+    ("insult", "you disgust me", 0.7), ("insult", "go to hell", 0.6), ("insult", "ashamed of yourself", 0.4), ("insult", "waste of space", 0.6),
+    ("hate", "inferior race", 0.8), ("hate", "not real people", 0.8), ("hate", "half-breeds", 0.65), ("hate", "half breeds", 0.65), ("hate", "breed like rats", 0.8),
+    ("threat", "kill yourself", 0.9), ("threat", "kill you", 0.8), ("threat", "hope you die", 0.8), ("threat", "hope you choke", 0.8), ("threat", "should be shot", 0.7), ("threat", "i know where you live", 0.8), ("threat", "break your neck", 0.8),
+    ("sexual", "oral sex", 0.65), ("sexual", "send nudes", 0.8), ("sexual", "send me nudes", 0.8), ("sexual", "naked breasts", 0.6), ("sexual", "make you come", 0.6),
 )
 
 # Chinese terms.
@@ -72,7 +84,7 @@ CHINESE: tuple[tuple[str, str, float], ...] = (
 
 # Frames that turn a term into abuse, and frames that report it or use another sense.
 ADDRESS = frozenset("you your you're yourself u ur whoever yours".split())
-FRAMES = re.compile(r"\bonly an? \W*|\bwhat an? |\bis an? |\bare an? |\bthat \w+ to crawl|\btake your\b|\bi hope\b|\bpeople like\b|\bthey are all\b|\bthose \w+ are\b|\beverybody knows\b|\bhonestly\b|\bgod,|\bgo \w+ yourself\b|\bher\b|\bhis hand\b|\bthey had\b|\bin cages\b")
+FRAMES = re.compile(r"\bonly an? \W*|\bwhat an? |\bis an? |\bare an? |\bpeople like\b|\bthey are all\b|\bthose \w+ are\b|\bhonestly\b|\bgod,|\bgo \w+ yourself\b|\bdeserves? to be\b|\b(?:ought|had better|need) to\b|\bthat \w+ \w+ (?:belongs?|should)\b|\bwe don't\b")
 REPORT = re.compile(r"\b(?:policy|moderat\w+|dataset\w*|datasets|survey|interview|dictionary|glossary|the (?:word|term|phrase|insult|slur)|meant|apologi[sz]\w+|withdrew|remov(?:ed|es)|reported|reports|complain\w+|quot(?:ed|ation)|entry|etymology|lexicon|flagged|without repeating)\b|规定|举报|词条|一词")
 QUOTED = re.compile(r"[\"“「『][^\"”」』]{0,160}[\"”」』]|['‘][^'’]{12,160}['’]")
 
@@ -80,11 +92,16 @@ _ZERO = re.compile("[­​-‏⁠﻿]")
 _SPACED = re.compile(r"(?<![^\W_])[A-Za-z0-9@$!*](?:(?P<s>[ ._·*\-])[A-Za-z0-9@$!*])(?:(?P=s)[A-Za-z0-9@$!*])+(?![^\W_])")
 _TOKEN = re.compile(r"[a-z]+(?:['’][a-z]+)?")
 _MIXED = re.compile(r"(?<![^\W_])(?=[a-z0-9@$!|*+]*[a-z@$])(?=[a-z]*[0-9@$!|*+])[a-z0-9@$!|*+]{3,}(?![^\W_])")
-_LEET = str.maketrans("0134578@$!|+", "oieastbasiit")
+# The letters that a digit or sign may stand for.
+LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t"}
 #: Line ends inside a paragraph.
 _HAN_WRAPPED = re.compile(r"(?<=[\u2e80-\uffef])\n(?=[\u2e80-\uffef])")
 _WRAPPED = re.compile(r"(?<!\n)\n(?![\n#>|*+\-]|\d+[.)] )")
 _SENTENCE = re.compile(r"[^.!?。！？\n]+[.!?。！？]*|\n")
+_SENTENCE_WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
+_HAN_RUN = re.compile("[一-鿿]{2,}")
+_HAN_ONLY = re.compile("[一-鿿]+")
+_HAN_PLAIN = re.compile("|".join(t for _, t, _ in CHINESE))
 _HAN_HINT = re.compile("|".join(r"[\W_]{0,2}".join(map(re.escape, t)) for _, t, _ in CHINESE))
 _HAN = [(c, re.compile(r"[\W_]{0,2}".join(map(re.escape, t))), w) for c, t, w in CHINESE]
 
@@ -101,9 +118,19 @@ class Trie:
             node[""] = w
 
     def within(self, token: str, k: int) -> list[tuple[int, str]]:
-        """Words within ``k`` edits, an exchange of neighbours being one."""
+        """Words within ``k`` edits, an exchange of neighbours being one.
+
+        A sign for a letter it looks like, ``*`` for any letter, and letters of a run of three or
+        more beyond its first cost nothing.
+        """
         n, out = len(token), []
-        first = list(range(n + 1))
+        same = [1] * (n + 1)  # what it costs to drop a character of the token
+        for m in re.finditer(r"([^*])\1{2,}", token):
+            same[m.start() + 2 : m.end() + 1] = [0] * (m.end() - m.start() - 1)
+        looks = [LOOKS.get(c, c) for c in token]
+        first = [0] * (n + 1)
+        for j in range(1, n + 1):
+            first[j] = first[j - 1] + same[j]
         todo = [(self.root, "", first, None)]
         while todo:
             node, last, row, before = todo.pop()
@@ -115,9 +142,14 @@ class Trie:
                 new = [row[0] + 1]
                 low = new[0]
                 for j in range(1, n + 1):
-                    v = min(new[j - 1] + 1, row[j] + 1, row[j - 1] + (token[j - 1] != ch))
-                    if before is not None and j > 1 and token[j - 1] == last and token[j - 2] == ch:
-                        v = min(v, before[j - 2] + 1)
+                    c = looks[j - 1]
+                    v = row[j - 1] if c == "*" or ch in c else row[j - 1] + 1
+                    if (x := new[j - 1] + same[j]) < v:
+                        v = x
+                    if (x := row[j] + 1) < v:
+                        v = x
+                    if before is not None and j > 1 and token[j - 1] == last and token[j - 2] == ch and before[j - 2] + 1 < v:
+                        v = before[j - 2] + 1
                     new.append(v)
                     if v < low:
                         low = v
@@ -125,21 +157,27 @@ class Trie:
                     todo.append((kid, ch, new, row))
         return out
 
-    def masked(self, pattern: str) -> list[str]:
-        """Words that fit a pattern in which ``*`` hides one letter."""
-        nodes = [self.root]
-        for ch in pattern:
-            if ch == "*":
-                nodes = [kid for x in nodes for c, kid in x.items() if c]
-            else:
-                nodes = [x[ch] for x in nodes if ch in x]
-        return sorted(x[""] for x in nodes if "" in x)
 
+def ordinary_words(vocabulary: str | None = None) -> frozenset[str]:
+    """Lower-case words that a public tokenizer's vocabulary holds whole, less the lexicon."""
+    if vocabulary is None:
+        from quire.llm.tokens import default_vocabulary
+
+        vocabulary = default_vocabulary()
+    if not os.path.exists(vocabulary):
+        return ORDINARY
+    out = set(ORDINARY)
+    with open(vocabulary, "rb") as f:
+        for line in f:
+            word = base64.b64decode(line.split()[0])
+            if word[:1] == b" " and len(word) > 3 and word[1:].isalpha() and word[1:].isascii():
+                out.add(word[1:].decode().lower())
+    return frozenset(out - WORDS.keys())
 
-_PHRASE_WORDS = {w for _, p, _ in PHRASES for w in p.split() if w != "_"}
-_TARGETS = {*WORDS, *(w for w in _PHRASE_WORDS if len(w) > 4)}
-#: Words of phrases that are ordinary by themselves don't make a text worth scoring.
-_TRIGGERS = {*(w for w, (_, x) in WORDS.items() if x > 0)} | set("oxygen brain manners crawl disgust lost shut kiss houses driven clothes bend stairs allowed necks cages breed breeds stink beaten laughs miss".split())
+
+_TARGETS = frozenset(WORDS)
+#: Words that make a sentence worth scoring.
+_TRIGGERS = frozenset(w for w, (_, x) in WORDS.items() if x > 0)
 
 #: Phrases without a trigger are worth scoring where all their words occur.
 _UNTRIGGERED = [ws for ws in (frozenset(w for x in p.split() if x != "_" for w in re.split("['’-]", x)) for _, p, _ in PHRASES) if _TRIGGERS.isdisjoint(ws)]
@@ -161,69 +199,49 @@ def _has_phrase(words: set[str]) -> bool:
 class Reader:
     """Maps tokens to lexicon words; remembers what it has seen."""
 
-    def __init__(self, common: frozenset[str] = ORDINARY):
-        self.trie, self.common = Trie(_TARGETS), common
+    def __init__(self, ordinary: frozenset[str] = ORDINARY, terms: dict[str, tuple[float, str]] | None = None):
+        """``terms``: learned runs, their weights, and the word by which each is looked for."""
+        self.trie, self.long, self.ordinary = Trie(_TARGETS), Trie(w for w in _TARGETS if len(w) > 7), ordinary
+        self.terms = {g: w for g, (w, _) in (terms or {}).items() if not _HAN_ONLY.fullmatch(g)}
+        self.marks = {mark for g, (_, mark) in (terms or {}).items() if g in self.terms}
+        self.han = {g: w for g, (w, _) in (terms or {}).items() if g not in self.terms}
+        self.han_marks = {g[:2] for g in self.han}
         self.seen: dict[str, str] = {}
 
-    def plain(self, token: str) -> str:
-        """The lexicon word an undisguised token stands for, or the token."""
-        if token in _TARGETS or token in self.common:
+    def meant(self, token: str) -> str:
+        """The lexicon word that a token stands for, or the token."""
+        if token in _TARGETS or token in self.ordinary:
             return token
         got = self.seen.get(token)
         if got is None:
             if len(self.seen) > 500_000:
                 self.seen.clear()
-            got = self.seen[token] = self._plain(token)
+            got = self.seen[token] = self._meant(token)
         return got
 
-    def _plain(self, token: str) -> str:
-        short = re.sub(r"(.)\1{2,}", r"\1", token)
-        for t in (short, re.sub(r"(.)\1+", r"\1", token)) if short != token else ():
-            if t in _TARGETS:
-                return t
-        for w in _TARGETS if short != token else ():
-            if re.sub(r"(.)\1+", r"\1", w) == re.sub(r"(.)\1+", r"\1", token):
-                return w
-        if len(short) < 5:
+    def _meant(self, token: str) -> str:
+        letters = len(re.sub(r"(.)\1{2,}", r"\1", token))
+        plain = token.isalpha()
+        hits = self.trie.within(token, 0) if not plain or letters < len(token) else []
+        if not hits and letters > 3 and "*" not in token:
+            hits = [x for x in self.trie.within(token, 1) if len(x[1]) > 3]
+            if not hits and letters > 7:
+                hits = self.long.within(token, 2)
+        if not hits or plain and min(hits)[0] and any(token == w + end for _, w in hits for end in ("y", "ed", "ing", "er")):
             return token
-        hits = [x for x in self.trie.within(short, 1) if x[1][0] == short[0] and len(x[1]) > 4]
-        return min(hits)[1] if hits else token
-
-    def disguised(self, token: str) -> str:
-        """The lexicon word behind digits, signs or masks, or the token."""
-        key = "\0" + token
-        got = self.seen.get(key)
-        if got is None:
-            got = self.seen[key] = self._disguised(token)
-        return got
-
-    def _disguised(self, token: str) -> str:
-        for form in dict.fromkeys((token.translate(_LEET), token.replace("1", "l").translate(_LEET), token.replace("*", "u").translate(_LEET))):
-            if "*" not in form and form in _TARGETS:
-                return form
-            short = re.sub(r"(.)\1{2,}", r"\1", form)
-            if "*" not in form and short in _TARGETS:
-                return short
-        pattern = token.translate(_LEET)
-        if "*" in pattern and len(pattern) > 2 and pattern[0] != "*":
-            hits = self.trie.masked(pattern)
-            if hits:
-                return max(hits, key=lambda w: (WORDS.get(w, ("", 0))[1], w))
-        form = pattern.replace("*", "")
-        if len(form) > 4 and "*" not in token:
-            hits = [x for x in self.trie.within(form, 1) if x[1][0] == form[0] and len(x[1]) > 4]
-            if hits:
-                return min(hits)[1]
-        return token
+        # a mask stands for the strongest word that fits
+        return min(hits, key=lambda x: (x[0], -WORDS[x[1]][1] if "*" in token else 0.0, x[1]))[1]
 
     def worth(self, low: str) -> bool:
         """Whether a lower-cased text has anything to score."""
         tokens = set(_TOKEN.findall(low))
-        if not _TRIGGERS.isdisjoint(tokens):
+        if not _TRIGGERS.isdisjoint(tokens) or not self.marks.isdisjoint(tokens):
             return True
-        meant = {self.plain(t) for t in tokens} | {self.disguised(t) for t in set(_MIXED.findall(low))}
+        meant = {self.meant(t) for t in tokens} | {self.meant(t) for t in set(_MIXED.findall(low))}
         if not _TRIGGERS.isdisjoint(meant) or _HAN_HINT.search(low) or _ZERO.search(low) or _SPACED.search(low):
             return True
+        if self.han and any(not self.han_marks.isdisjoint(map("".join, zip(x, x[1:]))) for x in _HAN_RUN.findall(low)):
+            return True
         return _has_phrase(tokens | meant)
 
     def undo(self, low: str) -> str:
@@ -233,7 +251,7 @@ class Reader:
         def joined(m: re.Match) -> str:
             sep = m["s"]
             word = m[0].replace(sep, "") if sep != "*" else m[0]
-            w = self.plain(word) if word.isalpha() else self.disguised(word)
+            w = self.meant(word)
             if w in _TARGETS:
                 return w
             if sep == " ":  # several spaced words may stand together
@@ -241,8 +259,8 @@ class Reader:
             return m[0]
 
         s = _SPACED.sub(joined, s)
-        s = _MIXED.sub(lambda m: self.disguised(m[0]), s)
-        return _TOKEN.sub(lambda m: self.plain(m[0]), s)
+        s = _MIXED.sub(lambda m: self.meant(m[0]), s)
+        return _TOKEN.sub(lambda m: self.meant(m[0]), s)
 
     @staticmethod
     def _cut(word: str) -> str:
@@ -255,12 +273,15 @@ class Reader:
 
     def sentence(self, s: str) -> tuple[float, dict[str, float]]:
         """Score of a normalised sentence, and by category."""
-        words = re.findall(r"[^\W_]+(?:['’\-][^\W_]+)*", s)
-        if _TRIGGERS.isdisjoint(words) and not _HAN_HINT.search(s) and not any("-" in w and not _TRIGGERS.isdisjoint(w.split("-")) for w in words) and not _has_phrase(set(words)):
+        words = _SENTENCE_WORD.findall(s)
+        learned = max((self.terms[g] for g in runs_of(words) if g in self.terms), default=0.0) if self.terms and not self.marks.isdisjoint(words) else 0.0
+        if self.han:
+            learned = max(learned, max((self.han[g] for g in han_runs(s) if g in self.han), default=0.0))
+        if not learned and _TRIGGERS.isdisjoint(words) and not _HAN_HINT.search(s) and not any("-" in w and not _TRIGGERS.isdisjoint(w.split("-")) for w in words) and not _has_phrase(set(words)):
             return 0.0, {}
         flat = " ".join(words)
-        found: list[tuple[str, float]] = []
-        strong = False
+        found: list[tuple[str, float]] = [("learned", learned)] if learned else []
+        strong = learned > 0.5
         for c, form, w in _PHRASE_FORMS:
             if form.search(flat):
                 found.append((c, w))
@@ -273,7 +294,8 @@ class Reader:
                     c, w = WORDS[part]
                     window = words[max(0, i - 8) : i + 9]
                     near = address and bool(ADDRESS.intersection(window))
-                    found.append((c, min(0.9, w * (1.8 if near else 1.5 if framed else 1.0 if w >= 0.5 else 0.6))))
+                    backed = any(x in _TRIGGERS and x != part for x in window)
+                    found.append((c, min(0.9, w * (1.8 if near else 1.5 if framed or backed else 1.0 if w >= 0.5 else 0.6))))
         for c, form, w in _HAN:
             if form.search(s):
                 found.append((c, min(0.9, w * (1.3 if "你" in s else 1.0))))
@@ -306,12 +328,105 @@ class Reader:
         return round(best, 6), kind
 
 
-def score(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, score, kind) of every document."""
+def runs_of(words: list[str]) -> Iterator[str]:
+    """Runs of two to four words that hold no digits; runs of two need a lexicon word."""
+    for k in (2, 3, 4):
+        for i in range(len(words) - k + 1):
+            run = words[i : i + k]
+            if k == 2 and _TRIGGERS.isdisjoint(run):
+                continue
+            g = " ".join(run)
+            if not any(c.isdigit() for c in g):
+                yield g
+
+
+def han_runs(s: str) -> Iterator[str]:
+    """Runs of three to five Han characters; runs of three need a lexicon term."""
+    for x in _HAN_RUN.findall(s):
+        for k in (3, 4, 5):
+            for i in range(len(x) - k + 1):
+                g = x[i : i + k]
+                if k > 3 or _HAN_PLAIN.search(g):
+                    yield g
+
+
+def _log_tail(k: int, n: int, p: float) -> float:
+    """Log of the chance of at least ``k`` of ``n`` at rate ``p`` (Chernoff's bound)."""
+    q = k / n
+    if q <= p:
+        return 0.0
+    return -n * (q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0.0))
+
+
+def fit(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, ordinary: frozenset[str] = ORDINARY) -> dict[str, tuple[float, str]]:
+    """Learned terms: weight, and the rarest word of each (the first two characters of Han terms)."""
+    spark = documents.sparkSession
+    votes = labels.where(F.col("abusive").isNotNull() & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "annotator"])
+    judged = votes.groupBy("doc_id").agg(F.avg("abusive").alias("y")).where("y in (0.0, 1.0)").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
+    texts = documents.where(F.length("text") > 0).select("doc_id", "text").join(F.broadcast(judged), "doc_id").dropDuplicates(["doc_id"]).select("text", (F.col("y") > 0.5).alias("y"))
+    texts = cut(texts)
+    n, bad = texts.agg(F.count("*"), F.count_if("y")).first()
+    if not bad or bad == n:
+        return {}
+
+    def grams(text: str, reader: Reader) -> set[str]:
+        out: set[str] = set()
+        for m in _SENTENCE.finditer(reader.undo(text.lower())):
+            out.update(runs_of(_SENTENCE_WORD.findall(m[0])))
+            out.update(han_runs(m[0]))
+        return out
+
+    def counter(only):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            reader, good, bad_ = Reader(ordinary), Counter(), Counter()
+            wanted = only.value if only else None
+            for rb in batches:
+                for t, y in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()):
+                    g = grams(t, reader)
+                    (bad_ if y else good).update(g & wanted if wanted is not None else g)
+            keys = sorted(good.keys() | bad_.keys())
+            for i in range(0, len(keys), 100_000):
+                part = keys[i : i + 100_000]
+                columns = [pa.array(part, pa.string()), pa.array([good[k] for k in part], pa.int64()), pa.array([bad_[k] for k in part], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["gram", "good", "bad"])
+
+        return work
+
+    schema, sums = "gram string, good long, bad long", (F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    # only runs that enough abusive documents have are counted in the others
+    often = texts.where("y").mapInArrow(counter(None), schema).groupBy("gram").agg(*sums).where(F.col("bad") >= LEAST_TIMES).select("gram").collect()
+    box = spark.sparkContext.broadcast(frozenset(r[0] for r in often))
+    counts = {r[0]: (r[1], r[2]) for r in texts.mapInArrow(counter(box), schema).groupBy("gram").agg(*sums).collect()}
+    # runs around a lexicon term are fewer, so that less evidence rules out luck
+    near = {g for g in counts if not _TRIGGERS.isdisjoint(g.split()) or _HAN_PLAIN.search(g)}
+    limits = [math.log(LUCK / max(m, 1)) for m in (len(counts) - len(near), len(near))]
+    out: dict[str, tuple[float, str]] = {}
+    often_words = Counter(w for g, (x, y) in counts.items() for w in g.split() for _ in range(x + y))
+    for g in sorted(counts, key=lambda g: (len(g.split()), len(g), g)):
+        good, bad_ = counts[g]
+        if bad_ / (good + bad_) < LEAST_RATE or _log_tail(bad_, good + bad_, bad / n) > limits[g in near]:
+            continue
+        weight = min(0.9, bad_ / (good + bad_ + 1))
+        parts = g.split()
+        if len(parts) > 1:
+            inner = [" ".join(parts[i:j]) for i in range(len(parts)) for j in range(i + 2, len(parts) + 1)]
+        else:
+            inner = [g[i:j] for i in range(len(g)) for j in range(i + 3, len(g) + 1)]
+        if any(x != g and x in out and out[x][0] >= weight - 0.02 for x in inner):
+            continue
+        out[g] = weight, g[:2] if len(parts) == 1 else min(parts, key=lambda w: (often_words[w], w))
+    return out
+
+
+def score(documents: DataFrame, labels: DataFrame | None = None, vocabulary: str | None = None, labelled: int = LABELLED) -> DataFrame:
+    """(doc_id, source, score, kind) of every document; ``labels`` has doc_id, annotator and abusive."""
+    ordinary = ordinary_words(vocabulary)
+    terms = fit(documents, labels, labelled, ordinary) if labels is not None else {}
+    box = documents.sparkSession.sparkContext.broadcast((ordinary, terms))
     docs = documents.select("doc_id", "source", "text")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader()
+        reader = Reader(*box.value)
         for pdf in batches:
             got = [reader.score(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "score": [x[0] for x in got], "kind": [x[1] for x in got]})
@@ -330,6 +445,6 @@ def rates(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
 
 
-def found(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def found(documents: DataFrame, labels: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Documents that reach the threshold."""
-    return score(documents).where(F.col("score") >= threshold).select("doc_id").distinct()
+    return score(documents, labels).where(F.col("score") >= threshold).select("doc_id").distinct()

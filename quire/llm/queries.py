@@ -89,15 +89,15 @@ def p8_shares(s: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(s: SparkSession, d: str) -> DataFrame:
-    return abuse.found(load(s, d, "documents"))
+    return abuse.found(load(s, d, "documents"), load(s, d, "review_labels"))
 
 
 def p9_scores(s: SparkSession, d: str) -> DataFrame:
-    return abuse.score(load(s, d, "documents"))
+    return abuse.score(load(s, d, "documents"), load(s, d, "review_labels"))
 
 
 def p9_rates(s: SparkSession, d: str) -> DataFrame:
-    return abuse.rates(abuse.score(load(s, d, "documents")))
+    return abuse.rates(abuse.score(load(s, d, "documents"), load(s, d, "review_labels")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -283,6 +283,8 @@ def test_pairs_are_counted_over_all_batches():
 
 # abuse ----------------------------------------------------------------------------------------------
 
+READER = abuse.Reader(abuse.ordinary_words())
+
 
 @pytest.mark.parametrize(
     ("text", "bad"),
@@ -293,18 +295,18 @@ def test_pairs_are_counted_over_all_batches():
     ],
 )
 def test_abuse(text, bad):
-    score, kind = abuse.Reader(frozenset()).score(text)
+    score, kind = READER.score(text)
     assert (score >= abuse.THRESHOLD) is bad, (score, kind)
 
 
 @pytest.mark.parametrize(("phrase", "weight"), [(p, w) for _, p, w in abuse.PHRASES])
 def test_every_phrase_scores_alone(phrase, weight):
     text = f"Well, {phrase.replace('_', 'the lot')} then."
-    assert abuse.Reader(frozenset()).score(text)[0] >= weight - 1e-6
+    assert READER.score(text)[0] >= weight - 1e-6
 
 
 def test_disguised_phrases_score():
-    assert abuse.Reader().score("I know wh3re you live, friend.")[0] >= 0.8 and abuse.Reader().score("Re-break your arm.")[0] >= 0.5
+    assert abuse.Reader().score("I know wh3re you live, friend.")[0] >= 0.8 and abuse.Reader().score("Re-break your neck.")[0] >= 0.5
 
 
 def test_copies_of_a_misspelling_are_found(spark):
@@ -326,3 +328,33 @@ def test_rates_per_source(spark):
     rows = [(1, "You stupid moron", "a"), (2, "fine", "A "), (3, None, None), (4, "", "a")]
     got = {r.source: (r.n_documents, r.n_cases) for r in abuse.rates(abuse.score(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()}
     assert got == {"a": (3, 1), "(none)": (1, 0)}
+
+
+def test_misspelled_lexicon_words_are_caught_by_the_automaton():
+    rnd = random.Random(5)
+    tried = caught = 0
+    for w in sorted(w for w, (_, x) in abuse.WORDS.items() if len(w) > 4 and x >= 0.45):
+        for _ in range(8):
+            i = rnd.randrange(len(w) - 1)
+            bad = rnd.choice([w[:i] + w[i + 1] + w[i] + w[i + 2 :], w[:i] + rnd.choice("xzqk") + w[i:], w[:i] + w[i + 1 :], w[:i] + rnd.choice("xzqk") + w[i + 1 :]])
+            if bad != w and bad not in READER.ordinary and bad not in abuse.WORDS:
+                tried += 1
+                caught += READER.meant(bad) in abuse.WORDS
+    assert tried > 100 and caught >= 0.97 * tried
+    for text in ("you fukc", "you are a rmoron", "you moorn, go away", "such a craetiin, you", "you m0r0n", "you a**hole", "you stuuuupid wh0re"):
+        assert READER.score(text)[0] >= 0.4, text
+    blind = abuse.Reader(abuse.ordinary_words())
+    blind.trie = blind.long = type("None_", (), {"within": lambda self, token, k: []})()
+    assert blind.score("you are a m0r0n")[0] < abuse.THRESHOLD <= READER.score("you are a m0r0n")[0]
+
+
+def test_terms_are_learned_from_judgements_and_only_where_luck_is_ruled_out(spark):
+    bad, good = "They say the lot of them are turnip heads from the swamp.", "The dataset covers turnip fields near the coast."
+    docs = [(i, bad if i < 40 else good, "a") for i in range(400)] + [(900, bad, "b"), (901, good, "b"), (902, None, None)]
+    labels = [(i, "x", int(i < 40)) for i in range(400)] + [(0, "x", 1), (1, "y", None), (5, "z", 0), (7777, "x", 1)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    lab = spark.createDataFrame(labels, "doc_id long, annotator string, abusive int")
+    got = {r.doc_id for r in abuse.found(d, lab).collect()}
+    assert got == {*range(40), 900}
+    assert abuse.found(d, lab.limit(0)).count() == 0 and abuse.found(d.limit(0), lab).count() == 0
+    assert abuse.fit(d, lab.where("doc_id in (1, 2, 100, 101)")) == {}
