@@ -190,8 +190,14 @@ def _phrase(p: str) -> re.Pattern:
 _PHRASE_FORMS = [(c, _phrase(p), w) for c, p, w in PHRASES]
 
 
+#: One word of each such phrase, by which it is looked for.
+_PHRASE_MARKS = frozenset(max(ws, key=lambda w: (len(w), w)) for ws in _UNTRIGGERED)
+
+
 def _has_phrase(words: set[str]) -> bool:
     """Whether all words of a phrase without triggers occur, as words or parts of them."""
+    if _PHRASE_MARKS.isdisjoint(words) and not any("-" in w or "'" in w or "’" in w for w in words):
+        return False
     parts = words.union(*(re.split("['’-]", w) for w in words if not w.isalpha()))
     return any(ws <= parts for ws in _UNTRIGGERED)
 
@@ -203,7 +209,10 @@ class Reader:
         """``terms``: learned runs, their weights, and the word by which each is looked for."""
         self.trie, self.long, self.ordinary = Trie(_TARGETS), Trie(w for w in _TARGETS if len(w) > 7), ordinary
         self.terms = {g: w for g, (w, _) in (terms or {}).items() if not _HAN_ONLY.fullmatch(g)}
-        self.marks = {mark for g, (_, mark) in (terms or {}).items() if g in self.terms}
+        self.marks: dict[str, list[frozenset[str]]] = {}
+        for g, (_, mark) in (terms or {}).items():
+            if g in self.terms:
+                self.marks.setdefault(mark, []).append(frozenset(g.split()))
         self.han = {g: w for g, (w, _) in (terms or {}).items() if g not in self.terms}
         self.han_marks = {g[:2] for g in self.han}
         self.seen: dict[str, str] = {}
@@ -235,12 +244,12 @@ class Reader:
     def worth(self, low: str) -> bool:
         """Whether a lower-cased text has anything to score."""
         tokens = set(_TOKEN.findall(low))
-        if not _TRIGGERS.isdisjoint(tokens) or not self.marks.isdisjoint(tokens):
+        if not _TRIGGERS.isdisjoint(tokens) or any(ws <= tokens for mark in self.marks.keys() & tokens for ws in self.marks[mark]):
             return True
         meant = {self.meant(t) for t in tokens} | {self.meant(t) for t in set(_MIXED.findall(low))}
         if not _TRIGGERS.isdisjoint(meant) or _HAN_HINT.search(low) or _ZERO.search(low) or _SPACED.search(low):
             return True
-        if self.han and any(not self.han_marks.isdisjoint(map("".join, zip(x, x[1:]))) for x in _HAN_RUN.findall(low)):
+        if self.han and any(g in self.han for x in _HAN_RUN.findall(low) if not self.han_marks.isdisjoint(map("".join, zip(x, x[1:]))) for g in han_runs(x)):
             return True
         return _has_phrase(tokens | meant)
 
@@ -274,8 +283,8 @@ class Reader:
     def sentence(self, s: str) -> tuple[float, dict[str, float]]:
         """Score of a normalised sentence, and by category."""
         words = _SENTENCE_WORD.findall(s)
-        learned = max((self.terms[g] for g in runs_of(words) if g in self.terms), default=0.0) if self.terms and not self.marks.isdisjoint(words) else 0.0
-        if self.han:
+        learned = max((self.terms[g] for g in runs_of(words) if g in self.terms), default=0.0) if not self.marks.keys().isdisjoint(words) else 0.0
+        if self.han and not s.isascii():
             learned = max(learned, max((self.han[g] for g in han_runs(s) if g in self.han), default=0.0))
         if not learned and _TRIGGERS.isdisjoint(words) and not _HAN_HINT.search(s) and not any("-" in w and not _TRIGGERS.isdisjoint(w.split("-")) for w in words) and not _has_phrase(set(words)):
             return 0.0, {}
@@ -379,10 +388,11 @@ def fit(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, ordin
     def counter(only):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             reader, good, bad_ = Reader(ordinary), Counter(), Counter()
-            wanted = only.value if only else None
+            wanted, single = only.value if only else (None, frozenset())
             for rb in batches:
                 for t, y in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()):
                     g = grams(t, reader)
+                    good.update("\0" + w for w in single.intersection(_TOKEN.findall(t.lower())))
                     (bad_ if y else good).update(g & wanted if wanted is not None else g)
             keys = sorted(good.keys() | bad_.keys())
             for i in range(0, len(keys), 100_000):
@@ -395,13 +405,14 @@ def fit(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, ordin
     schema, sums = "gram string, good long, bad long", (F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     # only runs that enough abusive documents have are counted in the others
     often = texts.where("y").mapInArrow(counter(None), schema).groupBy("gram").agg(*sums).where(F.col("bad") >= LEAST_TIMES).select("gram").collect()
-    box = spark.sparkContext.broadcast(frozenset(r[0] for r in often))
+    wanted = frozenset(r[0] for r in often)
+    box = spark.sparkContext.broadcast((wanted, frozenset(w for g in wanted for w in g.split())))
     counts = {r[0]: (r[1], r[2]) for r in texts.mapInArrow(counter(box), schema).groupBy("gram").agg(*sums).collect()}
+    texts_with = {g[1:]: counts.pop(g)[0] for g in [g for g in counts if g[0] == "\0"]}
     # runs around a lexicon term are fewer, so that less evidence rules out luck
     near = {g for g in counts if not _TRIGGERS.isdisjoint(g.split()) or _HAN_PLAIN.search(g)}
     limits = [math.log(LUCK / max(m, 1)) for m in (len(counts) - len(near), len(near))]
     out: dict[str, tuple[float, str]] = {}
-    often_words = Counter(w for g, (x, y) in counts.items() for w in g.split() for _ in range(x + y))
     for g in sorted(counts, key=lambda g: (len(g.split()), len(g), g)):
         good, bad_ = counts[g]
         if bad_ / (good + bad_) < LEAST_RATE or _log_tail(bad_, good + bad_, bad / n) > limits[g in near]:
@@ -414,7 +425,7 @@ def fit(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, ordin
             inner = [g[i:j] for i in range(len(g)) for j in range(i + 3, len(g) + 1)]
         if any(x != g and x in out and out[x][0] >= weight - 0.02 for x in inner):
             continue
-        out[g] = weight, g[:2] if len(parts) == 1 else min(parts, key=lambda w: (often_words[w], w))
+        out[g] = weight, g[:2] if len(parts) == 1 else min(parts, key=lambda w: (texts_with.get(w, 0), w))
     return out
 
 
