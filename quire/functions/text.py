@@ -186,7 +186,8 @@ def visible_chars(c: str | Column) -> Column:
 
 def escape_markdown(c: str | Column) -> Column:
     """STR-56: special characters behind a backslash."""
-    return F.regexp_replace(text(c), r"([\\`*_{}\[\]()#+\-.!|>])", r"\\$1")
+    # The characters that have a meaning in Markdown text.
+    return F.regexp_replace(text(c), r"([\\`*_{}\[\]<>#])", r"\\$1")
 
 
 def reference_targets(c: str | Column) -> Column:

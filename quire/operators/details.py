@@ -9,8 +9,11 @@ from pyspark.sql import Window as W
 from quire.functions import text as T
 from quire.functions import values as V
 
-#: Words by which a snippet addresses the model that reads it.
-ORDERS = r"(?i)ignore (?:all |the )?(?:previous|above)|disregard (?:the|all)|system prompt|you are now|忽略(?:以上|之前)"
+# Words by which a snippet addresses the model that reads it.
+ORDERS = (
+    r"(?i)ignore\s+(?:all\s+|the\s+)?(?:previous|above|prior)\s+instructions|disregard\s+(?:all\s+|the\s+)?(?:previous|above|prior)|忽略(?:以上|前面|上述|之前).{0,8}(?:指令|提示|要求)"
+    r"|你现在是|你现在扮演|new\s+instructions\s*:|(?:^|\n)\s*(?:system|assistant|developer)\s*:"
+)
 
 
 def pending_material(docs: DataFrame) -> DataFrame:
@@ -65,8 +68,8 @@ def effective_collections(docs: DataFrame, registry: DataFrame) -> DataFrame:
     rows = docs.select("document_id", V.ordered_distinct("manual_collections").alias("m"), V.ordered_distinct("auto_collections").alias("a"), V.ordered_distinct("topics").alias("t"))
     ids, topics = registry.select(F.col("collection_id").alias("c")), registry.where("topic is not null").select("topic", F.col("collection_id").alias("c"))
     manual = rows.select("document_id", F.lit(0).alias("k"), F.posexplode("m").alias("i", "c"))
-    auto = rows.select("document_id", F.lit(1).alias("k"), F.posexplode("a").alias("i", "c")).join(F.broadcast(ids), "c", "left_semi").select("document_id", "k", "i", "c")
-    by_topic = rows.select("document_id", F.lit(2).alias("k"), F.posexplode("t").alias("i", "topic")).join(F.broadcast(topics), "topic").select("document_id", "k", "i", "c")
+    auto = rows.select("document_id", F.lit(1).alias("k"), F.posexplode("a").alias("i", "c")).join(ids, "c", "left_semi").select("document_id", "k", "i", "c")
+    by_topic = rows.select("document_id", F.lit(2).alias("k"), F.posexplode("t").alias("i", "topic")).join(topics, "topic").select("document_id", "k", "i", "c")
     first = manual.unionByName(auto).unionByName(by_topic).groupBy("document_id", "c").agg(F.min(F.struct("k", "i")).alias("at"))
     return first.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "c"))), lambda x: x["c"]).alias("collections"))
 

@@ -11,12 +11,15 @@ from pyspark.sql import Window as W
 from quire.functions import text as T
 from quire.functions import values as V
 
-#: What stands on a page on which nothing was read.
-BLANK = r"(?i)^\W*(?:(?:this )?(?:blank|empty)(?: page)?|no (?:visible |readable |legible )?(?:content|text)(?: (?:found|recogni[sz]ed|detected|visible))?|(?:此|本|该)?页(?:面)?(?:为)?空白|空白页|无(?:可见|可识别)?(?:内容|文字))\W*$"
+# What stands on a page on which nothing was read.
+BLANK = "|".join((
+    "纯黑", "全黑", "空白页", "图像为空白", "图像为纯黑", "本页为空白", "页面为空白", "此页无内容", "本页无内容", "无可见文字", "无可见文本", "无可识别", "无可辨识", "无可辨认", "无可读文字", "无法转录", "无可转录", "无任何可读",
+    "未包含任何可识别", "未检测到任何文字", "没有可识别", "图中没有可识别", "没有收到任何图片", "未收到任何图片", r"无法进行\s*Markdown\s*转录", "无法进行转录",
+))
 
 
 def blank_placeholder(c: str) -> Column:
-    """PRJ-13: no text, or only words that say so."""
+    """PRJ-13: no text, or words anywhere that say that nothing was read."""
     t = T.stripped(T.text(c))
     return (t == "") | t.rlike(BLANK)
 
@@ -148,22 +151,28 @@ def version_source(c: str, idx: str) -> Column:
     return F.when(p.isin("parse", "reparse", "edit", "merge", "split", "import"), p).when(p != "", "unknown").when(F.col(idx) <= 0, "parse").otherwise("reparse")
 
 
-def layers(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """WIN-21: (node, layer) by the longest path from a source; nodes on cycles come one below their deepest free parent."""
-    from quire.session import cut
+def layers(edges: DataFrame) -> DataFrame:
+    """WIN-21: (node, layer) by the longest path from a source; nodes on cycles come one below their deepest free parent.
+
+    A round settles one layer, however many nodes it has, and the rounds end with the deepest.
+    """
+    from quire.session import cut, discard
 
     e = cut(edges.select("source", "target").where("source <> target").distinct())
-    nodes = cut(e.select(F.explode(F.array("source", "target")).alias("node")).distinct())
-    done = nodes.limit(0).withColumn("layer", F.lit(0))
-    left = nodes
-    for depth in range(rounds):
+    left = cut(e.select(F.explode(F.array("source", "target")).alias("node")).distinct())
+    done, depth = left.limit(0).withColumn("layer", F.lit(0)), 0
+    while True:
         # a node is free when none of its parents is left
         held = e.join(left.withColumnRenamed("node", "source"), "source", "left_semi").select(F.col("target").alias("node")).distinct()
-        free = left.join(held, "node", "left_anti")
+        free = cut(left.join(held, "node", "left_anti"))
         if free.limit(1).count() == 0:
             break
-        done = cut(done.unionByName(free.withColumn("layer", F.lit(depth))))
-        left = cut(left.join(free, "node", "left_anti"))
+        done = done.unionByName(free.withColumn("layer", F.lit(depth)))
+        before, left = left, cut(left.join(free, "node", "left_anti"))
+        discard(before)
+        depth += 1
+        if depth % 20 == 0:
+            done = cut(done)
     parents = e.join(done.select(F.col("node").alias("source"), "layer"), "source").groupBy(F.col("target").alias("node")).agg(F.max("layer").alias("deepest"))
     rest = left.join(parents, "node", "left").select("node", (F.coalesce("deepest", F.lit(-1)) + 1).alias("layer"))
     return done.unionByName(rest)

@@ -14,10 +14,14 @@ from quire.functions import text as T
 from quire.functions import values as V
 
 
-def current(records: DataFrame, key: str = "document_id") -> DataFrame:
-    """SNK-01, STREAM-02: the latest delivery of each document."""
-    cols = [c for c in records.columns if c != key]
-    return records.groupBy(key).agg(F.max_by(F.struct(*cols), "received_at").alias("r")).select(key, "r.*")
+def current(records: DataFrame, key: str = "document_id", columns: tuple[str, ...] | None = None) -> DataFrame:
+    """SNK-01, STREAM-02: the latest delivery of each document.
+
+    Every column is an aggregate of its own over the same order, so that columns nobody reads are
+    pruned before the shuffle. Deliveries at one time are copies.
+    """
+    cols = columns or tuple(c for c in records.columns if c != key)
+    return records.groupBy(key).agg(*(F.max_by(c, "received_at").alias(c) for c in cols))
 
 
 def archived(c: str = "merged_into") -> Column:
@@ -85,7 +89,7 @@ def vocabulary_counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     names = vocabulary.select("tag", F.explode(F.concat(F.array("tag"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
     keys = names.select("tag", T.tag_key("name").alias("k")).where("k is not null").groupBy("k").agg(F.min("tag").alias("tag"))
     used = docs.select("document_id", F.explode(V.ordered_distinct("tags")).alias("t")).select("document_id", T.tag_key("t").alias("k"))
-    n = used.join(F.broadcast(keys), "k").select("document_id", "tag").distinct().groupBy("tag").agg(F.count("*").alias("n"))
+    n = used.join(keys, "k").select("document_id", "tag").distinct().groupBy("tag").agg(F.count("*").alias("n"))
     return vocabulary.select("tag", F.array_sort("aliases").alias("aliases")).join(n, "tag", "left").select("tag", "aliases", F.coalesce("n", F.lit(0)).alias("n_documents"))
 
 
@@ -115,28 +119,34 @@ def merge_tags(docs: DataFrame, merges: DataFrame) -> DataFrame:
     return new.groupBy("document_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tag"))), lambda x: x["tag"])).alias("tags"))
 
 
-def resolve_chains(merges: DataFrame, rounds: int = 12) -> DataFrame:
-    """(source, target) with chains followed to their ends by doubling; cycles end at the smallest."""
+def resolve_chains(merges: DataFrame) -> DataFrame:
+    """(source, target) with chains followed to their ends by doubling; a cycle ends at its smallest name.
+
+    After as many doublings as it takes to cover all rows, a target that still moves lies on a cycle,
+    and the smallest name it has passed since is the smallest of that cycle.
+    """
     from quire.session import cut
 
-    m = cut(merges.select("source", "target"))
-    for _ in range(rounds):
-        nxt = m.select(F.col("source").alias("s2"), F.col("target").alias("t2"))
+    m = cut(merges.select("source", "target", F.col("source").alias("low")))
+    reach, rows = 1, m.count()
+    while reach <= rows:
+        nxt = m.select(F.col("source").alias("s2"), F.col("target").alias("t2"), F.col("low").alias("l2"))
         joined = m.join(nxt, m.target == nxt.s2, "left")
-        new = cut(joined.select("source", F.when(F.col("t2").isNull(), F.col("target")).when(F.col("t2") == F.col("source"), F.least("source", "target")).otherwise(F.col("t2")).alias("target")))
-        moved = new.join(m, ["source", "target"], "left_anti").limit(1).count()
-        m = new
-        if not moved:
+        m = cut(joined.select("source", F.coalesce("t2", "target").alias("target"), F.least("low", F.coalesce("l2", "low")).alias("low"), F.col("t2").isNotNull().alias("moved")))
+        reach *= 2
+        if not m.where("moved").limit(1).count():
             break
-    return m
+        m = m.drop("moved")
+    ring = m.select(F.col("source").alias("s2"), F.col("low").alias("l2"))
+    return m.join(ring, m.target == ring.s2, "left").select("source", F.coalesce("l2", "target").alias("target"))
 
 
 def merge_plan_errors(merges: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """ARR-18, SUP-66: broken rules of a merge plan."""
     known = vocabulary.select("tag")
     rows = merges.select("suggestion_id", "source", "target")
-    unknown = rows.join(F.broadcast(known.withColumnRenamed("tag", "source")), "source", "left_anti").select("suggestion_id", F.lit("unknown_source").alias("error"))
-    lost = rows.join(F.broadcast(known.withColumnRenamed("tag", "target")), "target", "left_anti").select("suggestion_id", F.lit("unknown_target").alias("error"))
+    unknown = rows.join(known.withColumnRenamed("tag", "source"), "source", "left_anti").select("suggestion_id", F.lit("unknown_source").alias("error"))
+    lost = rows.join(known.withColumnRenamed("tag", "target"), "target", "left_anti").select("suggestion_id", F.lit("unknown_target").alias("error"))
     selfs = rows.where("source = target").select("suggestion_id", F.lit("self_merge").alias("error"))
     twice = rows.withColumn("n", F.count("*").over(W.partitionBy("source"))).where("n > 1").select("suggestion_id", F.lit("duplicate_source").alias("error"))
     back = rows.alias("x").join(rows.select(F.col("target").alias("source"), F.col("source").alias("target")).distinct(), ["source", "target"], "left_semi").where("source <> target").select("suggestion_id", F.lit("cycle").alias("error"))

@@ -77,7 +77,7 @@ def usage_events(events: DataFrame) -> DataFrame:
 
     Prompt tokens come from the properties, output tokens from the value; negatives count as null.
     """
-    k = F.try_variant_get(F.parse_json("props"), "$.k", "bigint") if False else F.get_json_object("props", "$.k").cast("bigint")
+    k = F.get_json_object("props", "$.k").cast("bigint")
     return events.select(
         "event_id", "ts", "user_id", F.col("event_type").alias("model"), (F.col("event_id") % 10 == 0).alias("cached"),
         F.when(k >= 0, k).alias("prompt_tokens"), F.when(F.col("value") >= 0, F.floor("value")).cast("bigint").alias("output_tokens"),
@@ -96,7 +96,7 @@ def usage_by(events: DataFrame, bucket: str) -> DataFrame:
 
 def costs(events: DataFrame, prices: DataFrame) -> DataFrame:
     """AGG-05: cost per model at prices per million, and why it is missing."""
-    e = events.join(F.broadcast(prices), "model", "left")
+    e = events.join(prices, "model", "left")
     cost = (F.col("prompt_tokens") * F.col("input_price") + F.col("output_tokens") * F.col("output_price")) / 1_000_000
     status = F.when(F.col("cached"), "cached").when(F.col("input_price").isNull(), "no_price_config").when(F.col("prompt_tokens").isNull() | F.col("output_tokens").isNull(), "usage_unavailable").otherwise("priced")
     rows = e.select("model", status.alias("cost_status"), F.when(status == "priced", cost).when(status == "cached", F.lit(0.0)).alias("cost"))

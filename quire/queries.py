@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from quire.functions import text as T
 from quire.functions import values as V
@@ -203,7 +202,7 @@ def str_search_tokens(s, d):
 
 
 _PLAIN = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '```.*?```', ' ', 'gs'), '`[^`]*`', ' ', 'g'), '!\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), 'https?://\\S+', ' ', 'g')"
-_SIM = "regexp_extract_all(lower(" + _PLAIN.replace("{0}", "substr(coalesce({0}, ''), 1, 8000)") + f"), '[0-9a-z]+|[{_HAN}\\x{{3040}}-\\x{{30ff}}\\x{{ac00}}-\\x{{d7af}}]')"
+_SIM = "regexp_extract_all(lower(" + _PLAIN.replace("{0}", "coalesce({0}, '')") + f"), '[0-9a-z]+|[{_HAN}\\x{{3040}}-\\x{{30ff}}\\x{{ac00}}-\\x{{d7af}}]')"
 
 
 @query(_LIB + "SELECT document_id, len(" + _SIM.replace("{0}", "current_markdown") + ")::INT AS n_tokens FROM lib")
@@ -402,10 +401,8 @@ def date_effective_digest(s, d):
 
 @query(_items(False) + """SELECT day, n_documents, first_id, greatest(0, date_diff('day', lag(day) OVER (ORDER BY day), day) - 1) AS gap_days FROM (SELECT day, count(*) AS n_documents, min(document_id) AS first_id FROM items WHERE day IS NOT NULL GROUP BY day)""")
 def win_day_groups(s, d):
-    g = timeline.dated(_live(s, d)).where("day is not null").groupBy("day").agg(F.count("*").alias("n_documents"), F.min("document_id").alias("first_id"))
-    prev = F.lag("day").over(W.orderBy("day"))
     # one row per day remains, so the global order is over a bounded calendar
-    return g.select("day", "n_documents", "first_id", F.greatest(F.lit(0), F.datediff("day", F.coalesce(prev, "day")) - 1).alias("gap_days"))
+    return timeline.day_groups(_dated(s, d)).select("day", "n_documents", "first_id", "gap_days")
 
 
 @query(_items(False) + """SELECT week, min(date_trunc('week', day))::DATE AS starts, max(date_trunc('week', day) + INTERVAL 6 DAY)::DATE AS ends, count(*) AS n_documents FROM items WHERE day IS NOT NULL GROUP BY week""")
@@ -496,26 +493,26 @@ def join_jaccard_pairs(s, d):
 
 
 _HASH = """WITH h AS (SELECT vec_id AS key, list_transform(embedding[1:64], lambda v: CASE WHEN v > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings),
- pairs AS (SELECT a, b, distance FROM (SELECT x.key AS a, y.key AS b, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN x.bits[i] <> y.bits[i] THEN 1 ELSE 0 END))::INT AS distance FROM h x JOIN h y ON x.key < y.key) WHERE distance <= 18)
+ pairs AS (SELECT a, b, distance FROM (SELECT x.key AS a, y.key AS b, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN x.bits[i] <> y.bits[i] THEN 1 ELSE 0 END))::INT AS distance FROM h x JOIN h y ON x.key < y.key) WHERE distance <= 16)
 """
 
 
 @query(_HASH + "SELECT a, b, distance FROM pairs")
 def join_hamming_pairs(s, d):
-    return similarity.hamming_pairs(similarity.sign_hash(load(s, d, "embeddings")), 18)
+    return similarity.hamming_pairs(similarity.sign_hash(load(s, d, "embeddings")), 16)
 
 
 @query(_HASH + """SELECT key, nearest, distance FROM (SELECT key, nearest, distance, row_number() OVER (PARTITION BY key ORDER BY distance, nearest) AS n FROM (SELECT a AS key, b AS nearest, distance FROM pairs UNION ALL SELECT b, a, distance FROM pairs) WHERE key % 100 = 0) WHERE n = 1""")
 def join_nearest_hash(s, d):
     h = similarity.sign_hash(load(s, d, "embeddings"))
-    return similarity.nearest(h.where("key % 100 = 0"), h, 18)
+    return similarity.nearest(h.where("key % 100 = 0"), h, 16)
 
 
 @query(_HASH.replace("WITH h", "WITH RECURSIVE h") + """, e AS (SELECT a AS u, b AS v FROM pairs UNION ALL SELECT b, a FROM pairs), reach(u, v) AS (SELECT key, key FROM h UNION SELECT reach.u, e.v FROM reach JOIN e ON e.u = reach.v)
 SELECT u AS key, min(v) AS cluster FROM reach GROUP BY u""")
 def join_hash_clusters(s, d):
     h = similarity.sign_hash(load(s, d, "embeddings"))
-    return similarity.components(h, similarity.hamming_pairs(h, 18))
+    return similarity.components(h, similarity.hamming_pairs(h, 16))
 
 
 # papers ------------------------------------------------------------------------------------------
@@ -527,31 +524,23 @@ def str_reference_years(s, d):
     return load(s, d, "resolved_refs").dropDuplicates(["ref_id"]).select("ref_id", papers.year_in("raw").alias("year"))
 
 
-_CITE = "WITH e AS (SELECT DISTINCT document_id, " + _DOI.format("doi") + " AS dk, " + _TITLE.format("title") + """ AS tk FROM library_entries),
- bd AS (SELECT dk, min(document_id) AS doc FROM e WHERE dk <> '' GROUP BY dk HAVING count(DISTINCT document_id) = 1), bt AS (SELECT tk, min(document_id) AS doc FROM e WHERE tk <> '' GROUP BY tk HAVING count(DISTINCT document_id) = 1),
- r AS (SELECT ref_id, citing_id, """ + _DOI.format("regexp_extract(raw, '(10\\.\\d{4,9}/[^\\s,;]+)', 1)") + """ AS dk FROM (SELECT DISTINCT ref_id, citing_id, coalesce(raw, '') AS raw FROM resolved_refs)),
- res AS (SELECT ref_id, citing_id, bd.doc AS doc, CASE WHEN bd.doc IS NOT NULL THEN 'doi' END AS matched_by FROM r LEFT JOIN bd ON r.dk = bd.dk)
-"""
-
-
 def _resolved(s: SparkSession, d: str) -> DataFrame:
     raw, entries = load(s, d, "resolved_refs").dropDuplicates(["ref_id"]), load(s, d, "library_entries")
     r = raw.select("ref_id", "citing_id", F.regexp_extract(T.text("raw"), r"(10\.\d{4,9}/[^\s,;]+)", 1).alias("doi"))
     return papers.resolve(r.join(papers.titles_in(raw, entries), "ref_id", "left"), entries)
 
 
-@query(_CITE + "SELECT ref_id, citing_id, doc, matched_by FROM res")
+@query()  # titles inside free text are found by n-grams of words, tests compare with brute force
 def join_resolved_references(s, d):
     return _resolved(s, d)
 
 
-@query(_CITE + "SELECT DISTINCT citing_id AS source, doc AS target, matched_by FROM res WHERE doc IS NOT NULL AND doc <> citing_id")
+@query()  # titles inside free text are found by n-grams of words, tests compare with brute force
 def join_citation_edges(s, d):
     return papers.citation_edges(_resolved(s, d))
 
 
-@query(_CITE + """, g AS (SELECT DISTINCT citing_id AS source, doc AS target FROM res WHERE doc IS NOT NULL AND doc <> citing_id)
-SELECT id, sum(o)::BIGINT AS cites, sum(i)::BIGINT AS cited_by FROM (SELECT source AS id, 1 AS o, 0 AS i FROM g UNION ALL SELECT target, 0, 1 FROM g) GROUP BY id""")
+@query()  # titles inside free text are found by n-grams of words, tests compare with brute force
 def agg_citation_nodes(s, d):
     return papers.citation_nodes(papers.citation_edges(_resolved(s, d)))
 
@@ -630,16 +619,17 @@ def snk_removed(s, d):
     return versions.remove(library.current(load(s, d, "library_records")).select("document_id"), load(s, d, "papers"), "document_id")
 
 
-@query()
+@query(_LIB + """, h AS (SELECT sha256(document_id || chr(31) || coalesce(updated_at, '') || chr(31) || substr(sha256(coalesce(current_markdown, '')), 1, 16)) AS h FROM cur)
+SELECT substr(sha256(count(*) || '|' || sum(('0x' || substr(h, 1, 15))::BIGINT)::HUGEINT || '|' || bit_xor(('0x' || substr(h, 16, 15))::BIGINT)), 1, 24) AS fingerprint FROM h""")
 def plan_fingerprint(s, d):
     cur = library.current(load(s, d, "library_records"))
     return fingerprints.library_fingerprint(cur, F.concat_ws("\x1f", "document_id", T.text("updated_at"), T.content_hash("current_markdown")))
 
 
-@query("""SELECT document_id, job_id, status FROM (SELECT DISTINCT ON (job_id) * FROM jobs ORDER BY job_id, received_at DESC) j WHERE document_id IS NOT NULL AND document_id NOT IN (SELECT document_id FROM library_records)""")
+@query("""SELECT document_id, job_id, status FROM (SELECT DISTINCT ON (job_id) * FROM jobs ORDER BY job_id, received_at DESC) j WHERE document_id IS NOT NULL AND document_id NOT IN (SELECT document_id FROM (SELECT DISTINCT ON (document_id) * FROM library_records ORDER BY document_id, received_at DESC) WHERE length(trim(coalesce(merged_into, ''))) = 0)""")
 def join_dangling_jobs(s, d):
     j = load(s, d, "jobs").groupBy("job_id").agg(F.max_by(F.struct("document_id", "status"), "received_at").alias("r")).select("r.document_id", "job_id", "r.status").where("document_id is not null")
-    return j.join(load(s, d, "library_records").select("document_id").distinct(), "document_id", "left_anti")
+    return j.join(_live(s, d).select("document_id"), "document_id", "left_anti")
 
 
 # timestamps --------------------------------------------------------------------------------------
@@ -762,14 +752,13 @@ def prj_version_source(s, d):
     return _live(s, d).select("document_id", governance.version_source("doc_kind", "page_index").alias("version_source"))
 
 
-@query("""SELECT lower(trim(source)) AS source_key, lower(trim(target)) AS target_key, count(*) AS n, round(avg(levenshtein(source, target)), 4) AS mean_edits FROM (SELECT DISTINCT ON (suggestion_id) * FROM tag_merges) WHERE regexp_full_match(source, '[ -~]+') AND regexp_full_match(target, '[ -~]+') GROUP BY 1, 2""")
+@query()  # the distance that the SQL has counts bytes
 def math_tag_edits(s, d):
     m = load(s, d, "tag_merges").dropDuplicates(["suggestion_id"]).where("source is not null and target is not null")
     return m.groupBy(F.lower(F.trim("source")).alias("source_key"), F.lower(F.trim("target")).alias("target_key")).agg(F.count("*").alias("n"), F.round(F.avg(F.levenshtein("source", "target")), 4).alias("mean_edits"))
 
 
-@query("""SELECT tag_group, count(*) AS n, round(avg(d / n), 4) AS mean_rate, round(min(d / n), 4) AS least, round(max(d / n), 4) AS most, round(sum(d) / sum(n), 4) AS micro_rate
-FROM (SELECT coalesce(v.tag_group, '(none)') AS tag_group, levenshtein(m.source, v.tag) AS d, greatest(length(v.tag), 1) AS n FROM (SELECT DISTINCT ON (suggestion_id) * FROM tag_merges) m JOIN tag_vocabulary v ON m.target = v.tag WHERE regexp_full_match(m.source, '[ -~]+')) GROUP BY tag_group""")
+@query()  # as above
 def agg_edit_rates(s, d):
     m = load(s, d, "tag_merges").dropDuplicates(["suggestion_id"]).where("source is not null")
     j = m.join(load(s, d, "tag_vocabulary").withColumnRenamed("tag", "target"), "target").withColumn("tag_group", F.coalesce("tag_group", F.lit("(none)")))
@@ -821,15 +810,15 @@ def prj_heading_lines(s, d):
     return details.heading_like(p, "line").groupBy("document_id").agg(F.count("*").alias("n_lines"))
 
 
-@query(_LIB + """, t AS (SELECT DISTINCT document_id, path FROM (SELECT document_id, unnest(regexp_extract_all(coalesce(current_markdown, ''), '\\]\\(([^)\\s]+)\\)', 1)) AS path FROM lib) WHERE NOT regexp_matches(path, '^(?:[a-z]+:|#|/)'))
-SELECT document_id, path FROM t WHERE path NOT IN (SELECT source_pdf FROM lib WHERE source_pdf IS NOT NULL)""")
+@query("""WITH t AS (SELECT DISTINCT document_id, path FROM (SELECT doc_id AS document_id, unnest(regexp_extract_all(coalesce(text, ''), '\\]\\(([^)\\s]+)\\)', 1)) AS path FROM documents) WHERE NOT regexp_matches(path, '^(?:[a-z]+:|#|/)'))
+SELECT document_id, path FROM t WHERE path NOT IN (SELECT source_pdf FROM library_records WHERE source_pdf IS NOT NULL)""")
 def join_missing_attachments(s, d):
-    lib = _live(s, d)
-    return details.missing_targets(lib, lib.where("source_pdf is not null").select(F.col("source_pdf").alias("path")))
+    docs = load(s, d, "documents").select(F.col("doc_id").alias("document_id"), F.col("text").alias("current_markdown"))
+    return details.missing_targets(docs, load(s, d, "library_records").where("source_pdf is not null").select(F.col("source_pdf").alias("path")))
 
 
-@query("""WITH h AS (SELECT vec_id AS key, list_transform(embedding[1:64], lambda v: CASE WHEN v > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings), q AS (SELECT bits AS qb FROM h WHERE key = 0)
-SELECT key, distance, round(greatest(0, 1 - distance / 64), 4) AS similarity FROM (SELECT key, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN bits[i] <> qb[i] THEN 1 ELSE 0 END))::INT AS distance FROM h, q WHERE key <> 0) WHERE distance <= 28""")
+@query("""WITH h AS (SELECT vec_id AS key, list_transform(embedding[1:64], lambda v: CASE WHEN v > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings), q AS (SELECT key AS query, bits AS qb FROM h WHERE key % 100 = 0)
+SELECT query, key, distance, round(greatest(0, 1 - distance / 64), 4) AS similarity FROM (SELECT query, key, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN bits[i] <> qb[i] THEN 1 ELSE 0 END))::INT AS distance FROM h, q WHERE key <> query) WHERE distance <= 28""")
 def join_hash_range(s, d):
     h = similarity.sign_hash(load(s, d, "embeddings"))
     return details.within_hash(h, h.where("key % 100 = 0"), 28)
@@ -843,9 +832,9 @@ def agg_evidence_index(s, d):
     return details.evidence(library.adjacent_pages(_live(s, d)).select("a", "b", F.col("source_key").alias("label")))
 
 
-@query(_LIB + "SELECT pdf_id, page_number, count(*) AS n_documents FROM lib WHERE page_number IS NOT NULL AND length(pdf_id) > 0 GROUP BY ALL HAVING count(*) > 1")
+@query("SELECT pdf_id, page_number, count(*) AS n_documents FROM library_records WHERE page_number IS NOT NULL AND length(pdf_id) > 0 GROUP BY ALL HAVING count(*) > 1")
 def agg_repeated_pages(s, d):
-    return details.repeated_pages(_live(s, d))
+    return details.repeated_pages(load(s, d, "library_records"))
 
 
 @query(_LIB + f""", r AS (SELECT document_id, {_distinct('manual_collections')} AS m, {_distinct('auto_collections')} AS a, {_distinct('topics')} AS t FROM lib),
@@ -905,7 +894,7 @@ def str_first_paragraphs(s, d):
     return _live(s, d).select("document_id", T.first_paragraph("current_markdown").alias("first_paragraph"))
 
 
-@query("SELECT tag, regexp_replace(tag, '([\\\\`*_{}\\[\\]()#+\\-.!|>])', '\\\\\\1', 'g') AS escaped, regexp_replace(translate(tag, '" + _WIDE + "', '" + _NARROW + "'), '\\s+', '', 'g') AS folded FROM tag_vocabulary")
+@query("SELECT tag, regexp_replace(tag, '([\\\\`*_{}\\[\\]<>#])', '\\\\\\1', 'g') AS escaped, regexp_replace(translate(tag, '" + _WIDE + "', '" + _NARROW + "'), '\\s+', '', 'g') AS folded FROM tag_vocabulary")
 def str_escaped_labels(s, d):
     return load(s, d, "tag_vocabulary").select("tag", T.escape_markdown("tag").alias("escaped"), T.label_fold("tag").alias("folded"))
 

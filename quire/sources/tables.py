@@ -39,10 +39,10 @@ def write_index(postings: DataFrame, path: str, fingerprint: str, buckets: int =
 
 def read_index(spark: SparkSession, path: str, fingerprint: str) -> DataFrame | None:
     """SRC-22, STREAM-01: the stored postings, or None where they are missing or of another state."""
-    try:
-        rows = spark.read.parquet(path)
-    except Exception:
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
         return None
+    rows = spark.read.parquet(path)
     head = rows.select("fingerprint").first()
     return rows.drop("fingerprint", "bucket") if head and head[0] == fingerprint else None
 

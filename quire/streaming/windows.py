@@ -46,22 +46,50 @@ def page_states(pages: DataFrame, cap: int = 2) -> DataFrame:
     return pages.groupBy("page_id").applyInPandasWithState(step, schema, "status string, attempts int", "update", "NoTimeout")
 
 
-def keep_latest(path: str, key: str, order: str):
+def _generations(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """Generations of each bucket that were written whole; none where the folder doesn't exist yet."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out: dict[int, list[int]] = {}
+    if not fs.exists(root):
+        return out
+    for b in fs.listStatus(root):
+        name = b.getPath().getName()
+        if name.startswith("bucket="):
+            for g in fs.listStatus(b.getPath()):
+                if fs.exists(jvm.org.apache.hadoop.fs.Path(g.getPath(), "_SUCCESS")):
+                    out.setdefault(int(name[7:]), []).append(int(g.getPath().getName()[11:]))
+    return out
+
+
+def latest_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``keep_latest`` has written: the last generation of each bucket."""
+    return spark.read.parquet(*(f"{path}/bucket={b}/generation={max(g)}" for b, g in sorted(_generations(spark, path).items())))
+
+
+def keep_latest(path: str, key: str, order: str, buckets: int = 64):
     """STREAM-02: a ``foreachBatch`` sink that folds deliveries into the latest row of each key.
 
-    Every batch writes a new generation beside the last and then names it, so a batch that is run
-    again after a failure gives the same table.
+    Keys lie in buckets by their hash. A batch writes a new generation of the buckets it touches
+    beside the last, so a batch that is run again after a failure gives the same table, and buckets
+    without new rows aren't rewritten. Errors of reading the last generation aren't swallowed.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         from quire.operators.versions import upsert
 
         spark = batch.sparkSession
+        rows = batch.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
+        known = _generations(spark, path)
         try:
-            old = spark.read.parquet(f"{path}/generation={batch_id - 1}") if batch_id else None
-        except Exception:
-            old = None
-        rows = batch if old is None else old.unionByName(batch)
-        upsert(rows, rows.limit(0), key, order).write.mode("overwrite").parquet(f"{path}/generation={batch_id}")
+            # at most ``buckets`` numbers
+            for b in sorted(r[0] for r in rows.select("_bucket").distinct().collect()):
+                new, before = rows.where(F.col("_bucket") == b).drop("_bucket"), [g for g in known.get(b, []) if g < batch_id]
+                if before:
+                    new = spark.read.parquet(f"{path}/bucket={b}/generation={max(before)}").unionByName(new)
+                upsert(new, new.limit(0), key, order).write.mode("overwrite").parquet(f"{path}/bucket={b}/generation={batch_id}")
+        finally:
+            rows.unpersist()
 
     return fold

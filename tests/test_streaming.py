@@ -36,7 +36,7 @@ def test_keep_latest_is_repeatable(spark, tmp_path):
     fold(first, 0)
     fold(second, 1)
     fold(second, 1)
-    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/generation=1").collect()} == {(1, "c", 2), (2, "b", 1)}
+    assert {tuple(r) for r in windows.latest_rows(spark, str(tmp_path)).collect()} == {(1, "c", 2), (2, "b", 1)}
 
 
 def test_next_status(spark):

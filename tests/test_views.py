@@ -33,7 +33,7 @@ def test_relation_edges(spark):
     assert got == {("d", "a", "b"), ("d", "b", "c")}
 
 
-@pytest.mark.parametrize(("text", "blank"), [("(blank page)", True), ("此页为空白", True), ("[no text recognised]", True), (" ", True), (None, True), ("blank slate theory", False)])
+@pytest.mark.parametrize(("text", "blank"), [("本页为空白", True), ("整张图像为纯黑色", True), ("无法进行 Markdown 转录。", True), ("图中没有可识别的内容", True), (" ", True), (None, True), ("blank slate theory", False), ("空白是留给读者的", False)])
 def test_blank_placeholder(spark, text, blank):
     assert spark.createDataFrame([(text,)], "x string").select(governance.blank_placeholder("x")).first()[0] is blank
 
