@@ -4,8 +4,9 @@ A value is read under every format that fits it. Where a numeric date fits sever
 order is chosen by a mixture model per source: the weights of ``dmy``, ``mdy`` and ``ymd`` are
 estimated by expectation-maximisation over the counts of readable-order sets of that source (an
 aggregate of at most seven rows a source), starting from the order the source is registered with,
-which wins wherever the value can be read that way. Readings that the posterior cannot separate
-are marked in ``order_posterior``.
+which wins wherever the value can be read that way. A source without one starts from the mixture of
+all values, which also stands for values without a source. ``order_posterior`` is the posterior of the
+reading taken, ``resolved`` is false where it is below ``RESOLVED``: such values stay ambiguous.
 
 Defined results: null and blank values give no row; ``invalid`` has no complete real date or an
 impossible time; ``nozone`` needs a zone but has no registered source; ``ambiguous`` is a
@@ -34,7 +35,9 @@ ORDERS = ("dmy", "mdy", "ymd")
 CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{6}Z$"
 #: Weights of up to this many sources are broadcast; more are joined by shuffle.
 BROADCAST_SOURCES = 200_000
-PRIOR_WEIGHT = 50.0
+#: Pseudo-counts of a registered order, and of the mixture of all values for an unregistered source.
+PRIOR_WEIGHT, POOLED_WEIGHT = 50.0, 2.0
+RESOLVED = 0.9
 
 _MONTHS = {m: i for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
 _MONTH_NAMES = ("january february march april may june july august september october november december").split()
@@ -162,9 +165,12 @@ def resolve(value: str, zone: str | None, weights: dict[str, float]) -> tuple[st
     if len(set(dates.values())) == 1:
         day = next(iter(dates.values()))
     else:
-        total = sum(weights.get(k, 0.0) for k in dates) or 1.0
-        order = max(dates, key=lambda k: (weights.get(k, 0.0), k))
-        day, post = dates[order], weights.get(order, 0.0) / total
+        # orders that give one day are one reading
+        by_day: dict[date, float] = {}
+        for k, v in dates.items():
+            by_day[v] = by_day.get(v, 0.0) + weights.get(k, 1e-6)
+        day = max(by_day, key=lambda v: (by_day[v], v))
+        post = by_day[day] / sum(by_day.values())
     wall = datetime(day.year, day.month, day.day, h, mi, s, us)
     off: int | None = None
     if ztext:
@@ -242,16 +248,27 @@ def _readable() -> tuple[Column, Column, Column, Column]:
 
 
 def order_weights(values: DataFrame, sources: DataFrame) -> DataFrame:
-    """One row per source: zone_name and the weights w_dmy, w_mdy, w_ymd."""
+    """One row per source: zone_name and the weights w_dmy, w_mdy, w_ymd; device_id is null for the mixture of all values."""
     numeric, dmy, mdy, ymd = _readable()
-    sets = (
+    counts = cut(
         values.where(numeric)
         .select("device_id", dmy.alias("dmy"), mdy.alias("mdy"), ymd.alias("ymd"))
         .groupBy("device_id", "dmy", "mdy", "ymd")
         .agg(F.count("*").alias("n"))
-        .groupBy("device_id")
-        .agg(F.collect_list(F.struct("dmy", "mdy", "ymd", "n")).alias("sets"))
     )
+    # three marks make eight rows at most
+    every = counts.groupBy("dmy", "mdy", "ymd").agg(F.sum("n").alias("n")).collect()
+
+    def sets_of(rows) -> dict[frozenset[str], float]:
+        out: dict[frozenset[str], float] = {}
+        for x in rows:
+            key = frozenset(k for k in ORDERS if x[k])
+            if key:
+                out[key] = out.get(key, 0) + x["n"]
+        return out
+
+    pooled = expectation_maximisation(sets_of(every), {})
+    sets = counts.where("device_id is not null").groupBy("device_id").agg(F.collect_list(F.struct("dmy", "mdy", "ymd", "n")).alias("sets"))
     registered = sources.select("device_id", "zone_name", "date_order").where(F.col("device_id").isNotNull()).dropDuplicates(["device_id"])
     both = registered.join(sets, "device_id", "full_outer")
 
@@ -259,23 +276,23 @@ def order_weights(values: DataFrame, sources: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for dev, zone, order, seen in pdf[["device_id", "zone_name", "date_order", "sets"]].itertuples(index=False):
-                counts: dict[frozenset[str], float] = {}
-                for x in seen if isinstance(seen, (list, np.ndarray)) else []:
-                    key = frozenset(k for k in ORDERS if x[k])
-                    if key:
-                        counts[key] = counts.get(key, 0) + x["n"]
-                w = expectation_maximisation(counts, {order: PRIOR_WEIGHT} if order in ORDERS else {})
+                prior = {order: PRIOR_WEIGHT} if order in ORDERS else {k: POOLED_WEIGHT * v for k, v in pooled.items()}
+                w = expectation_maximisation(sets_of(seen if isinstance(seen, (list, np.ndarray)) else []), prior)
                 if order in ORDERS:  # the registered order wins wherever it can be read
-                    w = {k: v + (k == order) for k, v in w.items()}
+                    w = {k: 1.0 if k == order else 1e-6 * v for k, v in w.items()}
                 rows.append((dev, zone, *(w[k] for k in ORDERS)))
             yield pd.DataFrame(rows, columns=["device_id", "zone_name", "w_dmy", "w_mdy", "w_ymd"])
 
-    return both.mapInPandas(fit, "device_id string, zone_name string, w_dmy double, w_mdy double, w_ymd double")
+    schema = "device_id string, zone_name string, w_dmy double, w_mdy double, w_ymd double"
+    one = values.sparkSession.createDataFrame([(None, None, *(pooled[k] for k in ORDERS))], schema)
+    return both.mapInPandas(fit, schema).unionByName(one)
 
 
 def normalise_timestamps(values: DataFrame, sources: DataFrame) -> DataFrame:
-    """``values`` (document_id, slot_name, device_id, value) with utc_text and order_posterior."""
+    """``values`` (document_id, slot_name, device_id, value) with utc_text, order_posterior and resolved."""
     weights = cut(order_weights(values, sources))
+    pooled = dict(zip(ORDERS, weights.where("device_id is null").select("w_dmy", "w_mdy", "w_ymd").first()))
+    weights = weights.where("device_id is not null")
     if weights.count() <= BROADCAST_SOURCES:
         weights = F.broadcast(weights)
     joined = values.join(weights, "device_id", "left").select("document_id", "slot_name", "value", "zone_name", "w_dmy", "w_mdy", "w_ymd")
@@ -290,15 +307,15 @@ def normalise_timestamps(values: DataFrame, sources: DataFrame) -> DataFrame:
                 if r is None:
                     if len(seen) > 100_000:
                         seen.clear()
-                    w = {"dmy": a, "mdy": b, "ymd": c} if a == a and a is not None else {}
+                    w = {"dmy": a, "mdy": b, "ymd": c} if a == a and a is not None else pooled
                     r = seen[key] = resolve(v, z, w)
                 out.append(r)
             yield pd.DataFrame({
                 "document_id": pdf["document_id"], "slot_name": pdf["slot_name"], "value": pdf["value"],
-                "utc_text": [x[0] for x in out], "order_posterior": [x[1] for x in out],
+                "utc_text": [x[0] for x in out], "order_posterior": [x[1] for x in out], "resolved": [x[1] >= RESOLVED for x in out],
             })
 
-    return joined.mapInPandas(parse, "document_id string, slot_name string, value string, utc_text string, order_posterior double")
+    return joined.mapInPandas(parse, "document_id string, slot_name string, value string, utc_text string, order_posterior double, resolved boolean")
 
 
 def found(records: DataFrame, scanners: DataFrame) -> DataFrame:

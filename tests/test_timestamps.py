@@ -56,3 +56,15 @@ def test_found_handles_nulls_repeats_and_empty(spark):
     got = {tuple(r) for r in ts.found(records, scanners).collect()}
     assert got == {("a", "document_time", "2022-05-05T23:00:00.000000Z"), ("b", "document_time", "nozone")}
     assert ts.found(records.limit(0), scanners).count() == 0
+
+
+def test_unregistered_sources_are_decided_by_the_mixture_or_marked(spark):
+    days = [(f"2{i:02d}", "document_time", "us", f"0{1 + i % 9}/2{i % 8}/2021 10:00 +00:00") for i in range(40)]
+    rows = [*days, ("x", "document_time", "us", "03/04/2021 10:00 +00:00"), ("y", "document_time", "new", "03/04/2021 10:00 +00:00"), ("z", "document_time", None, "03/04/2021 10:00 +00:00"), ("e", "document_time", "uk", "03/04/2021 10:00 +00:00")]
+    values = spark.createDataFrame(rows, "document_id string, slot_name string, device_id string, value string")
+    none = spark.createDataFrame([("uk", "Europe/London", "dmy")], "device_id string, zone_name string, date_order string")
+    got = {r.document_id: (r.utc_text[:10], r.resolved) for r in ts.normalise_timestamps(values, none).collect()}
+    assert got["x"] == ("2021-03-04", True) and got["z"] == ("2021-03-04", True) and got["e"] == ("2021-04-03", True)
+    alone = {r.document_id: (r.order_posterior, r.resolved) for r in ts.normalise_timestamps(values.where("document_id in ('y', 'z')"), none.limit(0)).collect()}
+    assert all(abs(p - 0.5) < 1e-6 and not ok for p, ok in alone.values())
+    assert ts.normalise_timestamps(values.limit(0), none).count() == 0
