@@ -2,8 +2,9 @@
 
 Running headers and page numbers are told by their place and form, divided words by joining them,
 misread characters by a channel model: the probability that a character was misread times the
-n-gram likelihood of the corpus, decoded by Viterbi over the candidate words of a line. The
-language model (word and bigram counts, Han character bigrams, intact compounds) is counted over all
+n-gram likelihood of the corpus, decoded by Viterbi over the candidate words of a line. How probable
+each confusion is, is estimated from the corpus by expectation-maximisation over the spellings that
+are no words. The language model (word and bigram counts, Han character bigrams, intact compounds) is counted over all
 texts; only entries above a share of all tokens are kept, so its size has a bound.
 
 Defined results: null and blank texts have no defects and stay as they are; repeated rows of one key
@@ -21,6 +22,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import cut
+
+#: Log probability of a confusion on average, how far a frequent or rare one may lie from it, and rounds of its estimation.
+MISREAD_LOG, MISREAD_SPREAD, ROUNDS = -5.0, 1.5, 2
 #: A model entry must make up one of so many tokens, which bounds the model's size.
 WORD_SHARE, PAIR_SHARE = 150_000, 400_000
 
@@ -69,7 +74,8 @@ _NUMBER_LIKE = re.compile(r"(?=.*\d)(?=.*[lIOoSB])[\dlIOoSB]+")
 class Model:
     """Counts of words, pairs, Han pairs and compounds."""
 
-    def __init__(self, words: dict[str, int], pairs: dict[str, int], han: dict[str, int], compounds: set[str], total: int):
+    def __init__(self, words: dict[str, int], pairs: dict[str, int], han: dict[str, int], compounds: set[str], total: int, channel: dict[tuple[str, str], float] | None = None):
+        self.channel = channel or {}
         self.pairs, self.han, self.compounds, self.total = pairs, han, compounds, max(total, 1)
         self.heads = {c.split("-")[0] for c in compounds}
         self.words = words
@@ -92,9 +98,11 @@ class Model:
             for x, p in level.items():
                 for read, real in MISREAD:
                     i = x.find(read)
+                    if i < 0:
+                        continue
+                    q = p + self.channel.get((read, real), MISREAD_LOG)
                     while i >= 0:
                         y = x[:i] + real + x[i + len(read):]
-                        q = p - 5.0
                         if y != w and q > new.get(y, -99.0):
                             new[y] = q
                         i = x.find(read, i + 1)
@@ -107,6 +115,19 @@ class Model:
         got = self.seen[w] = sorted(out.items())
         return got
 
+    def confusions(self, w: str) -> dict[tuple[str, str], float]:
+        """Expected number of each confusion in an unknown spelling: posteriors of the words it may stand for."""
+        found: dict[tuple[str, str], float] = {}
+        for read, real in MISREAD:
+            i = w.find(read)
+            while i >= 0:
+                n = self.words.get(w[:i] + real + w[i + len(read) :])
+                if n:
+                    found[read, real] = found.get((read, real), 0.0) + n * math.exp(self.channel.get((read, real), MISREAD_LOG))
+                i = w.find(read, i + 1)
+        all_ = sum(found.values()) + self.total * math.exp(-19.0)
+        return {k: v / all_ for k, v in found.items()}
+
     def log(self, w: str, before: str) -> float:
         """Log likelihood of a word after another, interpolated."""
         uni = self.words.get(w, 0) / self.total
@@ -403,8 +424,6 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(texts: DataFrame) -> Model:
     """Language model of all texts (column ``text``)."""
     counts = texts.where(F.length("text") > 0).select("text").mapInPandas(_count, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
-    from quire.session import cut
-
     counts = cut(counts.where("n > 2"))
     plain = ~F.col("entry").rlike("[ \x02\x03]")
     total = counts.where(plain).agg(F.sum("n")).first()[0] or 0
@@ -422,7 +441,32 @@ def fit(texts: DataFrame) -> Model:
             pairs[e] = n
         else:
             words[e] = n
-    return Model({w: n for w, n in words.items() if n > 4}, pairs, han, compounds, total)
+    known = {w: n for w, n in words.items() if n > 4}
+    channel: dict[tuple[str, str], float] = {}
+    spellings = counts.where(plain & F.col("entry").rlike("^[a-z]{3,29}$"))
+    for _ in range(ROUNDS):
+        box = texts.sparkSession.sparkContext.broadcast((known, total, channel))
+
+        def expect(batches: Iterator[pd.DataFrame], box=box) -> Iterator[pd.DataFrame]:
+            words_, total_, channel_ = box.value
+            m = Model.__new__(Model)
+            m.words, m.total, m.channel = words_, max(total_, 1), channel_
+            for pdf in batches:
+                sums: Counter[tuple[str, str]] = Counter()
+                for w, n in zip(pdf["entry"], pdf["n"]):
+                    if w not in words_:
+                        for k, v in m.confusions(w).items():
+                            sums[k] += n * v
+                yield pd.DataFrame([(*k, v) for k, v in sums.items()], columns=["seen", "meant", "n"])
+
+        # one row a confusion
+        got = {(r[0], r[1]): r[2] for r in spellings.mapInPandas(expect, "seen string, meant string, n double").groupBy("seen", "meant").agg(F.sum("n")).collect()}
+        # the counts hold spellings of letters; confusions with digits and signs keep the average
+        plain_ = [k for k in MISREAD if _PLAIN.fullmatch(k[0])]
+        all_ = sum(got.values()) + len(plain_)
+        share = {k: (got.get(k, 0.0) + 1) / all_ * len(plain_) for k in plain_}
+        channel = {k: MISREAD_LOG + max(-MISREAD_SPREAD, min(MISREAD_SPREAD, math.log(v))) for k, v in share.items()}
+    return Model(known, pairs, han, compounds, total, channel)
 
 
 def library_texts(jobs: DataFrame, sources: DataFrame, papers: DataFrame) -> DataFrame:
@@ -454,5 +498,6 @@ def repair(texts: DataFrame, model: Model | None = None, with_text: bool = True)
 
 def found(jobs: DataFrame, sources: DataFrame, papers: DataFrame) -> DataFrame:
     """One row per text and kind of trace."""
-    texts = library_texts(jobs, sources, papers)
+    # each text is moved once; the fit and the repair both read the table
+    texts = cut(library_texts(jobs, sources, papers))
     return repair(texts, with_text=False).select("item_kind", "item_id", F.explode("defects").alias("defect")).distinct()

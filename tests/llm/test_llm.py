@@ -358,3 +358,15 @@ def test_terms_are_learned_from_judgements_and_only_where_luck_is_ruled_out(spar
     assert got == {*range(40), 900}
     assert abuse.found(d, lab.limit(0)).count() == 0 and abuse.found(d.limit(0), lab).count() == 0
     assert abuse.fit(d, lab.where("doc_id in (1, 2, 100, 101)")) == {}
+
+
+def test_confusions_that_occur_more_often_become_more_probable(spark):
+    words = "table morning letter common student house number".split()
+    texts = [" ".join(words) + f" note {i}" for i in range(200)] + ["tab1e morning Ietter comrnon stuclent honse"] * 3 + ["cornmon comrnon"] * 40
+    df = spark.createDataFrame([("job", str(i), t) for i, t in enumerate(texts)], "item_kind string, item_id string, text string")
+    m = denoise.fit(df)
+    assert m.channel["rn", "m"] > denoise.MISREAD_LOG > m.channel["b", "h"]
+    assert all(abs(v - denoise.MISREAD_LOG) <= denoise.MISREAD_SPREAD + 1e-9 for v in m.channel.values())
+    assert denoise.fit(df.limit(0)).channel == denoise.fit(df.limit(0)).channel
+    same = denoise.fit(df.repartition(7))
+    assert same.words == m.words and same.pairs == m.pairs and all(abs(same.channel[k] - v) < 1e-9 for k, v in m.channel.items())
