@@ -441,7 +441,8 @@ def fit(texts: DataFrame) -> Model:
             pairs[e] = n
         else:
             words[e] = n
-    known = {w: n for w, n in words.items() if n > 4}
+    model = Model({w: n for w, n in words.items() if n > 4}, pairs, han, compounds, total)
+    known = model.words  # without frequent misreadings
     channel: dict[tuple[str, str], float] = {}
     spellings = counts.where(plain & F.col("entry").rlike("^[a-z]{3,29}$"))
     for _ in range(ROUNDS):
@@ -466,7 +467,9 @@ def fit(texts: DataFrame) -> Model:
         all_ = sum(got.values()) + len(plain_)
         share = {k: (got.get(k, 0.0) + 1) / all_ * len(plain_) for k in plain_}
         channel = {k: MISREAD_LOG + max(-MISREAD_SPREAD, min(MISREAD_SPREAD, math.log(v))) for k, v in share.items()}
-    return Model(known, pairs, han, compounds, total, channel)
+    model.channel = channel
+    model.seen.clear()
+    return model
 
 
 def library_texts(jobs: DataFrame, sources: DataFrame, papers: DataFrame) -> DataFrame:

@@ -362,7 +362,7 @@ def test_terms_are_learned_from_judgements_and_only_where_luck_is_ruled_out(spar
 
 def test_confusions_that_occur_more_often_become_more_probable(spark):
     words = "table morning letter common student house number".split()
-    texts = [" ".join(words) + f" note {i}" for i in range(200)] + ["tab1e morning Ietter comrnon stuclent honse"] * 3 + ["cornmon comrnon"] * 40
+    texts = [" ".join(words) + f" note {i}" for i in range(200)] + ["tab1e morning Ietter comrnon stuclent honse"] * 3 + ["comrnon"]
     df = spark.createDataFrame([("job", str(i), t) for i, t in enumerate(texts)], "item_kind string, item_id string, text string")
     m = denoise.fit(df)
     assert m.channel["rn", "m"] > denoise.MISREAD_LOG > m.channel["b", "h"]
