@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.functions import values as V
-from quire.operators import curation, dates, digest, ir, library
-from quire.queries import _LIB, _day, _distinct, _items, _live, _strip, _tagkey, query
+from quire.operators import curation, dates, digest, ir, library, retrieval
+from quire.queries import _LIB, _day, _distinct, _items, _live, _strip, _tagkey, _tokens, query
 from quire.session import load
 
 # dates -------------------------------------------------------------------------------------------
@@ -406,3 +406,53 @@ def plan_section_fingerprints(s, d):
     lib = _live(s, d)
     part = F.when(F.size(V.ordered_distinct("topics")) > 0, "topics").otherwise("pending")
     return digest.section_fingerprints(lib.select("document_id", part.alias("part"), T.content_hash("current_markdown").alias("content_hash")), "2023-01-01", "2023-06-30")
+
+
+# retrieval ---------------------------------------------------------------------------------------
+
+
+def _pages(s: SparkSession, d: str) -> DataFrame:
+    return _live(s, d).where("pdf_id is not null").select(F.col("document_id").alias("key"), F.col("current_markdown").alias("body"), "pdf_id", "page_index")
+
+
+_PAGE_POST = _LIB + f", post AS (SELECT token, key, count(*) AS weight FROM (SELECT document_id AS key, unnest({_tokens('current_markdown')}) AS token FROM lib WHERE pdf_id IS NOT NULL) GROUP BY ALL)\n"
+
+
+@query(_PAGE_POST + "SELECT token, key, weight FROM post")
+def agg_page_postings(s, d):
+    return retrieval.page_postings(_pages(s, d))
+
+
+@query(_PAGE_POST + """, hits AS (SELECT key, sum(weight)::BIGINT AS score, any_value(pdf_id) AS pdf_id, any_value(page_index) AS page_index FROM post JOIN lib ON document_id = key WHERE token IN ('note', 'page', 'matrix') GROUP BY key ORDER BY score DESC, page_index, key LIMIT 200),
+ f AS (SELECT * FROM hits WHERE pdf_id IN (SELECT DISTINCT pdf_id FROM lib WHERE pdf_id IS NOT NULL ORDER BY pdf_id LIMIT 40)), b AS (SELECT *, row_number() OVER (PARTITION BY pdf_id, page_index ORDER BY score DESC, key) AS n FROM f)
+SELECT pdf_id, page_index, key, score FROM b WHERE n = 1 ORDER BY score DESC, pdf_id, page_index, key LIMIT 8""")
+def join_scoped_hits(s, d):
+    pages = _pages(s, d)
+    ids = [r[0] for r in pages.select("pdf_id").distinct().orderBy("pdf_id").limit(40).collect()]  # a scope that a reader chose
+    return retrieval.scoped_hits(retrieval.page_postings(pages), pages, "note page matrix", ids)
+
+
+@query("""SELECT doc_id, CASE WHEN contains(t, '[1]') OR contains(t, '[2]') THEN x ELSE x || '（前文提到：第5页、第9页）' END AS answer FROM (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(replace(replace(coalesce(text, ''), '[1]', '（前文提到 第5页）'), '[2]', '（前文提到 第9页）'), '\\[\\d{1,3}\\]', '', 'g') AS x FROM documents WHERE lower(trim(source)) = 'qa_answers')""")
+def str_history_answers(s, d):
+    return load(s, d, "documents").where(F.lower(F.trim("source")) == "qa_answers").select("doc_id", retrieval.history_answer("text", {1: 5, 2: 9}).alias("answer"))
+
+
+@query(_LIB + f""", c AS (SELECT tag, count(*) AS n FROM (SELECT unnest({_distinct('tags')}) AS tag FROM lib) GROUP BY tag), m AS (SELECT DISTINCT ON (suggestion_id) suggestion_id, source, target FROM tag_merges)
+SELECT suggestion_id, source, target, coalesce(a.n, 0) AS n_source, coalesce(b.n, 0) AS n_target FROM m LEFT JOIN c a ON a.tag = source LEFT JOIN c b ON b.tag = target""")
+def agg_merge_plan(s, d):
+    return retrieval.merge_plan_summary(load(s, d, "tag_merges").dropDuplicates(["suggestion_id"]), library.facet_counts(_live(s, d), "tags", "tag"))
+
+
+@query(f"""SELECT model, count(*) AS processed, count(*) FILTER (n > 0) AS with_tags, count(*) FILTER (w <> '') AS failed, sum(n)::BIGINT AS n_tags FROM (SELECT model, len({_distinct('tags')}) AS n, {_strip("coalesce(warning, '')")} AS w FROM (SELECT DISTINCT ON (inference_id) * FROM tag_inferences)) GROUP BY model""")
+def agg_inference_runs(s, d):
+    return retrieval.inference_report(load(s, d, "tag_inferences").dropDuplicates(["inference_id"]))
+
+
+@query("""SELECT event_type, count(*) AS n, round(sum(value), 3) AS sequential_seconds, round(epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6, 3) AS wall_seconds, round(sum(value) / nullif(epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6, 0), 6) AS speed_up FROM events GROUP BY event_type""")
+def agg_run_timing(s, d):
+    return retrieval.timing(load(s, d, "events"), "event_type", "ts", "value")
+
+
+@query()
+def str_search_blocks(s, d):
+    return retrieval.split_blocks(_live(s, d), "document_id", "current_markdown").select("key", "block", F.length("text").alias("n_chars"), "heading")
