@@ -1,4 +1,4 @@
-"""Smaller views with their own semantics (PRJ-09..11/16/21, JOIN-11/12/25..27, AGG-21/33, ARR-04, DATE-16, STR-22..25/46/60/61, SUP-09..11/95)."""
+"""Smaller views with their own semantics."""
 
 from __future__ import annotations
 

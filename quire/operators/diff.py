@@ -1,4 +1,4 @@
-"""Block parsing and diffs of text versions (STR-27..35, DIFF-01..04, WIN-19/20, MATH-01/11, AGG-26/39).
+"""Block parsing and diffs of text versions.
 
 A text is a list of blocks (heading, list, table, code, formula, quote, paragraph). Two versions are
 compared block by block: identical contents are paired by nearest index, the rest greedily by Dice

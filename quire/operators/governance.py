@@ -1,4 +1,4 @@
-"""Governance, quality and question-answering views (PRJ-13..19, ARR-10..22, SET-10, STR-26/38/51, AGG-25/28, SNK-14..24, SUP-*)."""
+"""Governance, quality and question-answering views."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Library scans, facets, inbox and governance views (SRC-*, PRJ-*, AGG-09..21, ARR-*, SET-*).
+"""Library scans, facets, inbox and governance views.
 
 All take the raw records, one row per delivery; ``live`` reduces them to the latest row of each
 document. Null arrays count as empty; blank labels are dropped.

@@ -1,4 +1,4 @@
-"""Bibliographic fields, reference lists and citation graphs (STR-36..50, JOIN-14..16, SUP-20..24)."""
+"""Bibliographic fields, reference lists and citation graphs."""
 
 from __future__ import annotations
 

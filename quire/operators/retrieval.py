@@ -26,7 +26,7 @@ def split_blocks(docs: DataFrame, key: str, body: str) -> DataFrame:
     """WIN-15: (key, block, text, heading): blocks end at blank lines and begin at headings; the last heading is carried on."""
     t = F.regexp_replace(T.text(body), "\r\n", "\n")
     t = F.regexp_replace(t, r"(?m)^(#{1,6}\s)", "\x01$1")
-    t = F.regexp_replace(t, r"\n[ \t\r\f]*(?:\n[ \t\r\f]*)+(?=\n|\S|\x01|$)", "\x01")
+    t = F.regexp_replace(t, r"\n(?:[ \t\r\f]*\n)+|^(?:[ \t\r\f]*\n)+|\n[ \t\r\f]+$", "\x01")
     parts = F.transform(F.split(t, "\x01"), lambda x: F.regexp_replace(x, r"^\n+|\n+$", ""))
     some = F.filter(parts, lambda x: F.trim(x) != "")
     rows = docs.select(F.col(key).alias("key"), F.posexplode(F.when(F.size(some) > 0, some).otherwise(F.array(F.lit("")))).alias("block", "text"))
@@ -131,7 +131,8 @@ def inference_report(inferences: DataFrame) -> DataFrame:
 
 def timing(runs: DataFrame, group: str, at: str, seconds: str) -> DataFrame:
     """AGG-31: seconds of a group's runs one after another, its seconds by the clock, and the speed-up; null where no time passed."""
-    span = F.max(F.unix_micros(at)) / 1e6 - F.min(F.unix_micros(at)) / 1e6
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    span = F.max(micros) / 1e6 - F.min(micros) / 1e6
     return runs.groupBy(group).agg(F.count("*").alias("n"), F.round(F.sum(seconds), 3).alias("sequential_seconds"), F.round(span, 3).alias("wall_seconds"), F.round(F.try_divide(F.sum(seconds), span), 6).alias("speed_up"))
 
 

@@ -1,4 +1,4 @@
-"""Keyword search over an inverted index (AGG-01, AGG-02, AGG-32, JOIN-01..04, WIN-10, SORT-01/02).
+"""Keyword search over an inverted index.
 
 Postings are a table, so a search is a join with the few query tokens; the tokens of a query are
 bounded and broadcast. Documents with null text have no postings; null titles count as empty.

@@ -1,4 +1,4 @@
-"""Timeline, calendar windows, digests and usage (DATE-*, WIN-01..04/09, AGG-03..11/19/20)."""
+"""Timeline, calendar windows, digests and usage."""
 
 from __future__ import annotations
 

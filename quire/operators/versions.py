@@ -1,4 +1,4 @@
-"""Versions, upserts and removals over plain tables (SNK-*, WIN-05/06, STREAM-02..07).
+"""Versions, upserts and removals over plain tables.
 
 Parquet has no MERGE: an upsert is a union with a latest-wins aggregate, a removal an anti-join; the
 result is written as a new table.

@@ -1,4 +1,4 @@
-"""Fingerprints of table states (STR-15..20, STREAM-01/09/10), and reuse by them."""
+"""Fingerprints of table states, and reuse by them."""
 
 from __future__ import annotations
 

@@ -502,10 +502,10 @@ def join_hamming_pairs(s, d):
     return similarity.hamming_pairs(similarity.sign_hash(load(s, d, "embeddings")), 16)
 
 
-@query(_HASH + """SELECT key, nearest, distance FROM (SELECT key, nearest, distance, row_number() OVER (PARTITION BY key ORDER BY distance, nearest) AS n FROM (SELECT a AS key, b AS nearest, distance FROM pairs UNION ALL SELECT b, a, distance FROM pairs) WHERE key % 100 = 0) WHERE n = 1""")
+@query(_HASH.replace("<= 16", "<= 24") + """SELECT key, nearest, distance FROM (SELECT key, nearest, distance, row_number() OVER (PARTITION BY key ORDER BY distance, nearest) AS n FROM (SELECT a AS key, b AS nearest, distance FROM pairs UNION ALL SELECT b, a, distance FROM pairs) WHERE key % 100 = 0) WHERE n = 1""")
 def join_nearest_hash(s, d):
     h = similarity.sign_hash(load(s, d, "embeddings"))
-    return similarity.nearest(h.where("key % 100 = 0"), h, 16)
+    return similarity.nearest(h.where("key % 100 = 0"), h, 24)
 
 
 @query(_HASH.replace("WITH h", "WITH RECURSIVE h") + """, e AS (SELECT a AS u, b AS v FROM pairs UNION ALL SELECT b, a FROM pairs), reach(u, v) AS (SELECT key, key FROM h UNION SELECT reach.u, e.v FROM reach JOIN e ON e.u = reach.v)

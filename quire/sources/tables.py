@@ -1,4 +1,4 @@
-"""Readers and writers (SRC-*, SNK-05..13): explicit schemas, no inference."""
+"""Readers and writers: explicit schemas, no inference."""
 
 from __future__ import annotations
 

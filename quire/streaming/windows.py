@@ -1,4 +1,4 @@
-"""Incremental forms of the batch operators with Structured Streaming (STREAM-01..08).
+"""Incremental forms of the batch operators with Structured Streaming.
 
 Late rows within the watermark are counted; state is bounded by the watermark.
 """
