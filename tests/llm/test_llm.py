@@ -233,6 +233,34 @@ def test_frequent_title_words_still_link(spark):
     assert want == free and {(2, "named"), (3, "nameless")} <= want
 
 
+def shuffled(spark):
+    """Records that all stages of the session have moved."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_keys_that_are_on_no_entry_are_not_moved(spark):
+    names = [f"{a}{b}mstelan" for a in ("Bre", "Vos", "Kel", "Tas", "Orl") for b in ("di", "ru", "ko")]
+    titles = ["thermal", "porous", "gradient", "membrane", "lattice", "solvent", "crystal", "plasma", "turbine", "isotope"]
+    # all surnames have frequent words, but only with a year, so references with a year need none of the 150 keys of surname and word
+    entries = [(f"e{i}", " ".join(titles[(i + k) % 10] for k in (0, 3, 7)), None, [f"{names[i % 15]}, A."], 1950 + i // 15, None) for i in range(450)]
+    refs = [(i, f"{', '.join(names)} ({2000 + i % 20}). {' '.join(titles[(i + 2 * k) % 10] for k in range(5))} {' '.join(titles[(i + 2 * k + 1) % 10] for k in range(5))}.") for i in range(300)]
+    e = spark.createDataFrame(entries, "document_id string, title string, doi string, authors array<string>, pub_year int, venue string")
+    before = shuffled(spark)
+    assert linkage.link(spark.createDataFrame(refs, "ref_id long, raw string"), e).count() == 0
+    assert shuffled(spark) - before < 45_000
+
+
+def test_sieve_lets_all_keys_pass(spark):
+    given = linkage.hashed([f"w:{i}" for i in range(5000)])
+    bits = linkage.sieve(spark.createDataFrame(pd.DataFrame({"key": given})))
+    other = linkage.sifted(bits, linkage.hashed([f"n:{i}" for i in range(5000)]))
+    assert linkage.sifted(bits, given).all() and other.mean() < 0.15
+    assert len(linkage.hashed([])) == 0 and not linkage.sifted(linkage.sieve(spark.createDataFrame([], "key long")), given).any()
+
+
 # scans ----------------------------------------------------------------------------------------------
 
 
