@@ -253,6 +253,29 @@ def test_keys_that_are_on_no_entry_are_not_moved(spark):
     assert shuffled(spark) - before < 45_000
 
 
+def test_near_is_the_edit_distance():
+    def distance(a, b):
+        d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 < j and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    rnd = random.Random(3)
+    for _ in range(5000):
+        a, b = ("".join(rnd.choice("abc") for _ in range(rnd.randrange(8))) for _ in "ab")
+        assert [linkage.near(a, b, k) for k in range(4)] == [distance(a, b) <= k for k in range(4)]
+
+
+def test_entries_are_read_once_and_not_for_every_pair(spark, monkeypatch):
+    parts = linkage.parts_of_entry("Comment on thermal lattices, Part II", ["Wistandel, Anna", None], "doi:10.99101/ABC.2006.123456")
+    monkeypatch.setattr(linkage, "fold", None)  # nothing is left to fold in an entry
+    monkeypatch.setattr(linkage.Scorer, "parts", lambda s, raw: (["wistandel"], {"wistandel"}, [], [], frozenset(), {2006}, ["10.99101/abc.2006.123456"], False, {}, {}))
+    assert linkage.Scorer(frozenset(), frozenset()).score("", parts, 2006)[0] > 0.5
+
+
 def test_sieve_lets_all_keys_pass(spark):
     given = linkage.hashed([f"w:{i}" for i in range(5000)])
     bits = linkage.sieve(spark.createDataFrame(pd.DataFrame({"key": given})))
