@@ -1,8 +1,9 @@
 """Scores for abusive, hateful, threatening and sexually explicit language.
 
 A lexicon of words is held as a trie of letters. Unusual tokens run a Levenshtein automaton against
-the trie (its states are rows of the edit matrix, cut off beyond the allowed distance). In the
-automaton, digits and signs that look like a letter, masks and stretched letters cost nothing, so
+the trie (its states are rows of the edit matrix, cut off beyond the allowed distance), most of them
+only against the words that are equal to them once both have lost as many characters as edits are
+allowed. In the automaton, digits and signs that look like a letter, masks and stretched letters cost nothing, so
 disguises and misspellings are caught by one search; zero-width and separating characters are
 undone before. Each sentence gets a score from its terms, weighted by a window of words around
 them: address and insult frames raise it, reports, quotation and technical senses lower it. A
@@ -91,9 +92,15 @@ QUOTED = re.compile(r"[\"“「『][^\"”」』]{0,160}[\"”」』]|['‘][^'
 _ZERO = re.compile("[­​-‏⁠﻿]")
 _SPACED = re.compile(r"(?<![^\W_])[A-Za-z0-9@$!*](?:(?P<s>[ ._·*\-])[A-Za-z0-9@$!*])(?:(?P=s)[A-Za-z0-9@$!*])+(?![^\W_])")
 _TOKEN = re.compile(r"[a-z]+(?:['’][a-z]+)?")
-_MIXED = re.compile(r"(?<![^\W_])(?=[a-z0-9@$!|*+]*[a-z@$])(?=[a-z]*[0-9@$!|*+])[a-z0-9@$!|*+]{3,}(?![^\W_])")
+_MIXED = re.compile(r"(?<![^\W_])(?=[a-z]*[0-9@$!|*+])(?=[a-z0-9@$!|*+]*[a-z@$])[a-z0-9@$!|*+]{3,}(?![^\W_])")
+#: A letter beside a sign, and the end of spaced letters: every match of the two holds one, which is found faster.
+_MIXED_PART = re.compile(r"[0-9@$!|*+](?:(?=[a-z@$])|(?<=[a-z@$].))")
+_SPACED_END = re.compile(r"([ ._·*\-])[A-Za-z0-9@$!*]\1[A-Za-z0-9@$!*](?![^\W_])")
+_STRETCHED = re.compile(r"([^*])\1{2,}")
 # The letters that a digit or sign may stand for.
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t"}
+#: One letter for all that may stand for each other.
+_ALIKE = str.maketrans({c: x[0] for x in LOOKS.values() for c in x} | {c: x[0] for c, x in LOOKS.items()})
 #: Line ends inside a paragraph.
 _HAN_WRAPPED = re.compile(r"(?<=[\u2e80-\uffef])\n(?=[\u2e80-\uffef])")
 _WRAPPED = re.compile(r"(?<!\n)\n(?![\n#>|*+\-]|\d+[.)] )")
@@ -106,12 +113,47 @@ _HAN_HINT = re.compile("|".join(r"[\W_]{0,2}".join(map(re.escape, t)) for _, t,
 _HAN = [(c, re.compile(r"[\W_]{0,2}".join(map(re.escape, t))), w) for c, t, w in CHINESE]
 
 
+# Letters and apostrophes stay, other bytes become blanks.
+_LETTERS = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz'" else 32 for b in range(256))
+
+
+def _tokens(low: str) -> set[str]:
+    """The different tokens of a lower-cased text."""
+    if "’" in low:
+        return set(_TOKEN.findall(low))
+    words = set(low.encode("ascii", "replace").translate(_LETTERS).decode("ascii").split())
+    odd = [w for w in words if "'" in w]
+    return words.difference(odd).union(*map(_TOKEN.findall, odd)) if odd else words
+
+
+def _mixed(low: str) -> list[str]:
+    """Tokens of letters with signs, of a lower-cased text."""
+    out, end = [], 0
+    for m in _MIXED_PART.finditer(low):
+        if m.start() >= end:  # what stands between two blanks is searched once
+            end = low.find(" ", m.start())
+            end = len(low) if end < 0 else end
+            out += _MIXED.findall(low, low.rfind(" ", 0, m.start()) + 1, end)
+    return out
+
+
+def _shortened(token: str, k: int) -> set[str]:
+    """A token less up to ``k`` of its characters."""
+    out = {token}
+    for _ in range(k):
+        out |= {x[:i] + x[i + 1 :] for x in out for i in range(len(x))}
+    return out
+
+
 class Trie:
     """Lexicon by letters; ``within`` intersects it with the Levenshtein automaton of a token."""
 
     def __init__(self, words):
         self.root: dict = {}
-        for w in words:
+        self.words = list(words)
+        self.longest = max(map(len, self.words), default=0)
+        self.by_rest: dict[int, dict[str, list[str]]] = {}
+        for w in self.words:
             node = self.root
             for ch in w:
                 node = node.setdefault(ch, {})
@@ -123,15 +165,19 @@ class Trie:
         A sign for a letter it looks like, ``*`` for any letter, and letters of a run of three or
         more beyond its first cost nothing.
         """
-        n, out = len(token), []
+        n, out, root = len(token), [], self.root
+        if "*" not in token and not _STRETCHED.search(token):
+            if not (words := self._candidates(token, k)):
+                return out
+            root = Trie(words).root
         same = [1] * (n + 1)  # what it costs to drop a character of the token
-        for m in re.finditer(r"([^*])\1{2,}", token):
+        for m in _STRETCHED.finditer(token):
             same[m.start() + 2 : m.end() + 1] = [0] * (m.end() - m.start() - 1)
         looks = [LOOKS.get(c, c) for c in token]
         first = [0] * (n + 1)
         for j in range(1, n + 1):
             first[j] = first[j - 1] + same[j]
-        todo = [(self.root, "", first, None)]
+        todo = [(root, "", first, None)]
         while todo:
             node, last, row, before = todo.pop()
             if "" in node and row[n] <= k:
@@ -157,6 +203,22 @@ class Trie:
                     todo.append((kid, ch, new, row))
         return out
 
+    def _candidates(self, token: str, k: int) -> set[str]:
+        """Words that can be within ``k`` edits of a token whose every character costs.
+
+        Each edit spares one character on either side at most, so the two are equal once each has
+        lost up to ``k`` characters.
+        """
+        rests = self.by_rest.get(k)
+        if rests is None:
+            rests = self.by_rest[k] = {}
+            for w in self.words:
+                for x in _shortened(w.translate(_ALIKE), k):
+                    rests.setdefault(x, []).append(w)
+        if len(token) > k + self.longest:
+            return set()
+        return {w for x in _shortened(token.translate(_ALIKE), k) if x in rests for w in rests[x]}
+
 
 def ordinary_words(vocabulary: str | None = None) -> frozenset[str]:
     """Lower-case words that a public tokenizer's vocabulary holds whole, less the lexicon."""
@@ -196,10 +258,8 @@ _PHRASE_MARKS = frozenset(max(ws, key=lambda w: (len(w), w)) for ws in _UNTRIGGE
 
 def _has_phrase(words: set[str]) -> bool:
     """Whether all words of a phrase without triggers occur, as words or parts of them."""
-    if _PHRASE_MARKS.isdisjoint(words) and not any("-" in w or "'" in w or "’" in w for w in words):
-        return False
     parts = words.union(*(re.split("['’-]", w) for w in words if not w.isalpha()))
-    return any(ws <= parts for ws in _UNTRIGGERED)
+    return not _PHRASE_MARKS.isdisjoint(parts) and any(ws <= parts for ws in _UNTRIGGERED)
 
 
 class Reader:
@@ -216,16 +276,22 @@ class Reader:
         self.han = {g: w for g, (w, _) in (terms or {}).items() if g not in self.terms}
         self.han_marks = {g[:2] for g in self.han}
         self.seen: dict[str, str] = {}
+        self.plain = set(_TARGETS | ordinary)
 
     def meant(self, token: str) -> str:
         """The lexicon word that a token stands for, or the token."""
-        if token in _TARGETS or token in self.ordinary:
+        if token in self.plain:
             return token
         got = self.seen.get(token)
         if got is None:
-            if len(self.seen) > 500_000:
+            if len(self.seen) + len(self.plain) > 500_000 + len(self.ordinary):
                 self.seen.clear()
-            got = self.seen[token] = self._meant(token)
+                self.plain = set(_TARGETS | self.ordinary)
+            got = self._meant(token)
+            if got == token:
+                self.plain.add(token)
+            else:
+                self.seen[token] = got
         return got
 
     def _meant(self, token: str) -> str:
@@ -243,13 +309,16 @@ class Reader:
 
     def worth(self, low: str) -> bool:
         """Whether a lower-cased text has anything to score."""
-        tokens = set(_TOKEN.findall(low))
+        tokens = _tokens(low)
         if not _TRIGGERS.isdisjoint(tokens) or any(ws <= tokens for mark in self.marks.keys() & tokens for ws in self.marks[mark]):
             return True
-        meant = {self.meant(t) for t in tokens} | {self.meant(t) for t in set(_MIXED.findall(low))}
-        if not _TRIGGERS.isdisjoint(meant) or _HAN_HINT.search(low) or _ZERO.search(low) or _SPACED.search(low):
+        meant = {self.meant(t) for t in (tokens - self.plain).union(_mixed(low))}
+        if not _TRIGGERS.isdisjoint(meant) or _SPACED_END.search(low) and _SPACED.search(low):
             return True
-        if self.han and any(g in self.han for x in _HAN_RUN.findall(low) if not self.han_marks.isdisjoint(map("".join, zip(x, x[1:]))) for g in han_runs(x)):
+        plain = low.isascii()
+        if not plain and (_HAN_HINT.search(low) or _ZERO.search(low)):
+            return True
+        if self.han and not plain and any(g in self.han for x in _HAN_RUN.findall(low) if not self.han_marks.isdisjoint(map("".join, zip(x, x[1:]))) for g in han_runs(x)):
             return True
         return _has_phrase(tokens | meant)
 
@@ -267,8 +336,12 @@ class Reader:
                 return self._cut(word) or m[0]
             return m[0]
 
-        s = _SPACED.sub(joined, s)
-        s = _MIXED.sub(lambda m: self.meant(m[0]), s)
+        if _SPACED_END.search(s):
+            s = _SPACED.sub(joined, s)
+        if _MIXED_PART.search(s):
+            s = _MIXED.sub(lambda m: self.meant(m[0]), s)
+        if all(self.meant(t) == t for t in _tokens(s) - self.plain):
+            return s
         return _TOKEN.sub(lambda m: self.meant(m[0]), s)
 
     @staticmethod
@@ -286,8 +359,10 @@ class Reader:
         learned = max((self.terms[g] for g in runs_of(words) if g in self.terms), default=0.0) if not self.marks.keys().isdisjoint(words) else 0.0
         if self.han and not s.isascii():
             learned = max(learned, max((self.han[g] for g in han_runs(s) if g in self.han), default=0.0))
-        if not learned and _TRIGGERS.isdisjoint(words) and not _HAN_HINT.search(s) and not any("-" in w and not _TRIGGERS.isdisjoint(w.split("-")) for w in words) and not _has_phrase(set(words)):
-            return 0.0, {}
+        if not learned and _TRIGGERS.isdisjoint(words) and (s.isascii() or not _HAN_HINT.search(s)):
+            joined = "-" in s or "'" in s or "’" in s
+            if not (joined and any("-" in w and not _TRIGGERS.isdisjoint(w.split("-")) for w in words)) and not ((joined or not _PHRASE_MARKS.isdisjoint(words)) and _has_phrase(set(words))):
+                return 0.0, {}
         flat = " ".join(words)
         found: list[tuple[str, float]] = [("learned", learned)] if learned else []
         strong = learned > 0.5
@@ -337,6 +412,16 @@ class Reader:
         return round(best, 6), kind
 
 
+_kept: list = [None, None]
+
+
+def reader_of(lexicon: tuple) -> Reader:
+    """The reader of a broadcast lexicon; a worker keeps its last one, so that later tasks search no token again."""
+    if _kept[0] is not lexicon:
+        _kept[:] = lexicon, Reader(*lexicon)
+    return _kept[1]
+
+
 def runs_of(words: list[str]) -> Iterator[str]:
     """Runs of two to four words that hold no digits; runs of two need a lexicon word."""
     for k in (2, 3, 4):
@@ -437,7 +522,7 @@ def score(documents: DataFrame, labels: DataFrame | None = None, vocabulary: str
     docs = documents.select("doc_id", "source", "text")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(*box.value)
+        reader = reader_of(box.value)
         for pdf in batches:
             got = [reader.score(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "score": [x[0] for x in got], "kind": [x[1] for x in got]})

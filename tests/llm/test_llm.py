@@ -375,6 +375,48 @@ def test_automaton_matches_brute_force():
         assert got == want
 
 
+def test_tokens_far_from_the_lexicon_walk_no_trie():
+    trie = abuse.Trie(abuse.WORDS)
+    trie.root = None  # a walk fails
+    for q in ("measurement", "x86-64", "sha256", "retrieval's", "", "q" * 2 + "ab" * 500):
+        assert [trie.within(q, k) for k in (0, 1, 2)] == [[], [], []]
+
+
+def test_candidates_lose_no_word_that_the_automaton_finds():
+    class Whole(abuse.Trie):
+        def _candidates(self, token, k):
+            return self.words
+
+    rnd = random.Random(7)
+    words = sorted(abuse.WORDS)
+    trie, whole = abuse.Trie(words), Whole(words)
+    tried = found = 0
+    for w in words:
+        for _ in range(6):
+            q = list(w)
+            for _ in range(rnd.randrange(4)):
+                i = rnd.randrange(len(q))
+                q[i : i + 2] = rnd.choice([q[i + 1 : i + 2] + [q[i]], [rnd.choice("il1!|40@s5$tk'*"), *q[i : i + 2]], q[i + 1 : i + 2], [rnd.choice("il1!|30@s$e7+*"), *q[i + 1 : i + 2]], [q[i]] * 3 + q[i + 1 : i + 2]]) or ["x"]
+            for k in (0, 1, 2):
+                want = sorted(whole.within("".join(q), k))
+                assert sorted(trie.within("".join(q), k)) == want, (q, k)
+                tried, found = tried + 1, found + bool(want)
+    assert found > tried / 2
+
+
+def test_tokens_are_those_of_the_patterns():
+    rnd = random.Random(3)
+    for _ in range(3000):
+        s = "".join(rnd.choice("ab'’ 1@!*-_.\n\xa0é你é") for _ in range(rnd.randrange(25)))
+        assert abuse._tokens(s) == set(abuse._TOKEN.findall(s)) and abuse._mixed(s) == abuse._MIXED.findall(s)
+        assert abuse._SPACED_END.search(s) or not abuse._SPACED.search(s)
+
+
+def test_a_worker_keeps_the_reader_of_its_lexicon():
+    one, other = (abuse.ORDINARY, {}), (abuse.ORDINARY, {})
+    assert abuse.reader_of(one) is abuse.reader_of(one) is not abuse.reader_of(other)
+
+
 def test_rates_per_source(spark):
     rows = [(1, "You stupid moron", "a"), (2, "fine", "A "), (3, None, None), (4, "", "a")]
     got = {r.source: (r.n_documents, r.n_cases) for r in abuse.rates(abuse.score(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()}
